@@ -3,14 +3,20 @@
 from __future__ import annotations
 
 from .common import table
+from .token_counts import count_tokens
 from .url_filter import rules_frame, url_filter
 
 
+def op4_token_counts(spark, sf_dir):
+    return count_tokens(table(spark, sf_dir, "documents"))
+
+
 def op10_url_filter(spark, sf_dir):
     return url_filter(table(spark, sf_dir, "pages"), rules_frame(spark))
 
 
 QUERIES = {
+    "op4_token_counts": op4_token_counts,
     "op10_url_filter": op10_url_filter,
 }
 
