@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .common import table
+from .licenses import license_scan
 from .token_counts import count_tokens
 from .url_filter import rules_frame, url_filter
 
@@ -11,12 +12,17 @@ def op4_token_counts(spark, sf_dir):
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op6_license_scan(spark, sf_dir):
+    return license_scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op10_url_filter(spark, sf_dir):
     return url_filter(table(spark, sf_dir, "pages"), rules_frame(spark))
 
 
 QUERIES = {
     "op4_token_counts": op4_token_counts,
+    "op6_license_scan": op6_license_scan,
     "op10_url_filter": op10_url_filter,
 }
 
