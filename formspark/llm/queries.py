@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .common import table
 from .licenses import license_scan
+from .simhash import simhash_components
 from .token_counts import count_tokens
 from .url_filter import rules_frame, url_filter
 
@@ -12,6 +13,10 @@ def op4_token_counts(spark, sf_dir):
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op5_simhash(spark, sf_dir):
+    return simhash_components(table(spark, sf_dir, "documents"))
+
+
 def op6_license_scan(spark, sf_dir):
     return license_scan(table(spark, sf_dir, "documents")).drop("spans")
 
@@ -22,6 +27,7 @@ def op10_url_filter(spark, sf_dir):
 
 QUERIES = {
     "op4_token_counts": op4_token_counts,
+    "op5_simhash": op5_simhash,
     "op6_license_scan": op6_license_scan,
     "op10_url_filter": op10_url_filter,
 }
