@@ -5,10 +5,15 @@ from __future__ import annotations
 from .common import table
 from .licenses import license_scan
 from .simhash import simhash_components
+from .suffix_dedup import suffix_dedup
 from .token_counts import count_tokens
 from .url_filter import rules_frame, url_filter
 
 
+def op2_suffix_dedup(spark, sf_dir):
+    return suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark, sf_dir):
     return count_tokens(table(spark, sf_dir, "documents"))
 
@@ -26,6 +31,7 @@ def op10_url_filter(spark, sf_dir):
 
 
 QUERIES = {
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op4_token_counts": op4_token_counts,
     "op5_simhash": op5_simhash,
     "op6_license_scan": op6_license_scan,
