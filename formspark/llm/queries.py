@@ -7,9 +7,14 @@ from .licenses import license_scan
 from .simhash import simhash_components
 from .suffix_dedup import suffix_dedup
 from .token_counts import count_tokens
+from .toxicity import toxicity
 from .url_filter import rules_frame, url_filter
 
 
+def op1_toxicity(spark, sf_dir):
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_suffix_dedup(spark, sf_dir):
     return suffix_dedup(table(spark, sf_dir, "documents"))
 
@@ -31,6 +36,7 @@ def op10_url_filter(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op4_token_counts": op4_token_counts,
     "op5_simhash": op5_simhash,
