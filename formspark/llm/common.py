@@ -26,17 +26,28 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+#: Spark then drops the shuffle files of an execution when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage with reliable files in the cluster's shared spark.checkpoint.dir.
 
-    Where the setting is absent (tests, a local session) a folder below the warehouse is used.
+    Where the setting is absent (tests, a local session) a folder below the warehouse is used.  Once
+    the files are written nothing reads the shuffles behind them again, so these go at once and do
+    not wait on the executors' disks for the driver to collect its garbage.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = sc.getConf().get("spark.checkpoint.dir")
         sc.setCheckpointDir(shared or os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "checkpoints"))
-    return df.checkpoint(eager=True)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
 
 
 def fresh(name: str) -> str:
