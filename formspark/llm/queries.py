@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .common import table
+from .decontaminate import contaminated
 from .licenses import license_scan
 from .simhash import simhash_components
 from .suffix_dedup import suffix_dedup
@@ -31,6 +32,10 @@ def op6_license_scan(spark, sf_dir):
     return license_scan(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op9_decontaminate(spark, sf_dir):
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_url_filter(spark, sf_dir):
     return url_filter(table(spark, sf_dir, "pages"), rules_frame(spark))
 
@@ -41,6 +46,7 @@ QUERIES = {
     "op4_token_counts": op4_token_counts,
     "op5_simhash": op5_simhash,
     "op6_license_scan": op6_license_scan,
+    "op9_decontaminate": op9_decontaminate,
     "op10_url_filter": op10_url_filter,
 }
 
