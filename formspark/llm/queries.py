@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .common import table
 from .decontaminate import contaminated
+from .fingerprints import edited_fingerprints
 from .licenses import license_scan
 from .simhash import simhash_components
 from .suffix_dedup import suffix_dedup
@@ -20,6 +21,10 @@ def op2_suffix_dedup(spark, sf_dir):
     return suffix_dedup(table(spark, sf_dir, "documents"))
 
 
+def op3_fingerprints(spark, sf_dir):
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark, sf_dir):
     return count_tokens(table(spark, sf_dir, "documents"))
 
@@ -43,6 +48,7 @@ def op10_url_filter(spark, sf_dir):
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_suffix_dedup": op2_suffix_dedup,
+    "op3_fingerprints": op3_fingerprints,
     "op4_token_counts": op4_token_counts,
     "op5_simhash": op5_simhash,
     "op6_license_scan": op6_license_scan,
