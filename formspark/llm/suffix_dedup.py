@@ -9,17 +9,18 @@ left and 50 to its right in the window.
 
 1. Anchors whose gram occurs in one document only cannot be in a shared window.  Gram hashes meet in
    a shuffle (each batch sends a gram once) and only anchors seen in two documents go on.
-2. The suffix at an anchor, with the bytes left of it, is its *context*.  Equal contexts are one row
-   with the smallest and largest id, combined before the shuffle; so a passage in very many documents
-   is a few rows.  Sampled splitters range-partition the contexts by the leading tokens of the suffix.
+2. The suffix at an anchor, with the bytes left of it, is its *context*.  Splitters sampled from the
+   contexts range-partition them by the leading tokens of the suffix.  A batch sends equal contexts
+   once, with the places that have them, sorted and compressed, so a passage in very many documents
+   costs a few bytes a place.
 3. A bucket sorts its suffixes by multikey quicksort (8-byte tokens, only ties go on to the next
    token), and the bytes before the anchors likewise from right to left.  Longest common prefixes of
    neighbours give, for each of the 27 windows, the classes of equal strings and their smallest id.
-   Splitters are compared on the whole gram, so equal grams never straddle a boundary and the windows
-   of neighbouring buckets differ at their anchors already.
-4. The members of each context join its smallest ids again, and each document marks its windows.
+   Splitters are whole grams, so neighbours across a boundary differ within the gram already and no
+   window of one bucket can be in another.
+4. Places whose windows start in a smaller id go back to their documents, which mark the bytes.
 
-All comparisons are of bytes; hashes only select candidates, or name a context by 128 bits.
+All comparisons are of bytes; hashes only select candidates.
 """
 
 from __future__ import annotations
@@ -44,6 +45,10 @@ CONTEXT = LEFT + LENGTH
 BLOCK = 1_000_000
 #: anchors that a batch gathers before it sends them on
 GATHER = 2_000_000
+GATHER_CONTEXTS = 300_000
+#: documents for each bucket, and grams of each, that the splitters are sampled from
+SAMPLE_DOCS = 20
+SAMPLE_GRAMS = 20
 NO_ID = (1 << 63) - 1
 
 _BYTES = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -211,32 +216,85 @@ def _shared_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([pa.array(ids[doc[o]]), pa.array(ths[doc[o]]), pa.array(pos[o].astype(np.int32))], schema=_SHARED)
 
 
-_CONTEXT = pa.schema([("ctx", pa.binary()), ("id", pa.int64()), ("th", pa.int64()), ("pos", pa.int32())])
+_AROUND = np.arange(CONTEXT)
 
 
-def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, th, text, at) to the context of each anchor: bytes left and right there are, then the bytes."""
-    around = np.arange(-LEFT, LENGTH)
+def _context_rows(text: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """Of each anchor: how many bytes there are left and right of it (26 and 50 at most), then the bytes."""
+    wide = np.concatenate([np.zeros(LEFT, np.uint8), text, np.zeros(LENGTH, np.uint8)])
+    rows = np.empty((len(pos), CONTEXT + 2), np.uint8)
+    rows[:, 0] = np.minimum(pos, LEFT)
+    rows[:, 1] = np.minimum(len(text) - pos, LENGTH)
+    rows[:, 2:] = wide[pos[:, None] + _AROUND]
+    return rows
+
+
+def _gram_of(rows: np.ndarray) -> np.ndarray:
+    """The gram at the anchor of each context, as byte strings that compare like its bytes."""
+    return np.ascontiguousarray(rows[:, 2 + LEFT : 2 + LEFT + GRAM]).view(f"S{GRAM}").ravel()
+
+
+def _texts_and_anchors(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    texts, lists = batch.column("text").cast(pa.binary()), batch.column("at")
+    for d in range(batch.num_rows):
+        yield d, np.frombuffer(texts[d].as_py(), np.uint8), np.unique(lists[d].values.to_numpy()).astype(np.int64)
+
+
+def _sampled_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, ths = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "th"))
-        texts = batch.column("text").cast(pa.binary())
-        lists = batch.column("at")
-        for d in range(batch.num_rows):
-            text = np.frombuffer(texts[d].as_py(), np.uint8)
-            wide = np.concatenate([np.zeros(LEFT, np.uint8), text, np.zeros(LENGTH, np.uint8)])
-            every = np.unique(lists[d].values.to_numpy())
-            for a in range(0, len(every), 20_000):
-                pos = every[a : a + 20_000].astype(np.int64)
-                rows = np.empty((len(pos), CONTEXT + 2), np.uint8)
-                rows[:, 0] = np.minimum(pos, LEFT)
-                rows[:, 1] = np.minimum(len(text) - pos, LENGTH)
-                rows[:, 2:] = wide[pos[:, None] + around + LEFT]
-                offsets = np.arange(len(pos) + 1, dtype=np.int32) * (CONTEXT + 2)
-                ctx = pa.Array.from_buffers(pa.binary(), len(pos), [None, pa.py_buffer(offsets), pa.py_buffer(rows)])
-                n = len(pos)
-                yield pa.RecordBatch.from_arrays(
-                    [ctx, pa.array(np.full(n, ids[d])), pa.array(np.full(n, ths[d])), pa.array(pos.astype(np.int32))], schema=_CONTEXT
-                )
+        for d, text, pos in _texts_and_anchors(batch):
+            rows = _context_rows(text, pos[:: max(1, len(pos) // SAMPLE_GRAMS)])
+            yield pa.RecordBatch.from_arrays([pa.array(_gram_of(rows).tolist(), pa.binary())], names=["gram"])
+
+
+CONTEXTS = "bucket int, ids binary, ths binary, n int, data binary"
+_PACKED = pa.schema([("bucket", pa.int32()), ("ids", pa.binary()), ("ths", pa.binary()), ("n", pa.int32()), ("data", pa.binary())])
+
+
+def _send_contexts(splitters: list[bytes]):
+    """(id, th, text, at) to compressed contexts with their places, a row for each range of grams."""
+    bounds = np.array(splitters, f"S{GRAM}")
+
+    def send(ids, ths, doc, pos, rows) -> Iterator[pa.RecordBatch]:
+        order = multikey_quicksort(np.ascontiguousarray(np.roll(rows, -2 - LEFT, axis=1)))
+        rows = rows[order]
+        new = np.r_[True, (rows[1:] != rows[:-1]).any(axis=1)]
+        begins = np.flatnonzero(new)
+        bucket = np.searchsorted(bounds, _gram_of(rows[begins]), "right")
+        cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
+        ends = np.r_[begins, len(rows)]
+        columns = []
+        for a, z in zip(cuts[:-1], cuts[1:]):
+            o = order[ends[a] : ends[z]]
+            there, local = np.unique(doc[o], return_inverse=True)
+            counts = np.diff(ends[a : z + 1])
+            data = [rows[begins[a:z]].tobytes(), counts.astype(np.uint32).tobytes(), local.astype(np.uint32).tobytes(), pos[o].astype(np.uint32).tobytes()]
+            sizes = np.array([*map(len, data)], np.int64).tobytes()
+            packed = pa.compress(sizes + b"".join(data), codec="zstd", asbytes=True)
+            size = 32 + sum(map(len, data))
+            columns.append((int(bucket[a]), ids[there].tobytes(), ths[there].tobytes(), size, packed))
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*columns), _PACKED)], schema=_PACKED)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, ths, docs, places, rows, n, base = [], [], [], [], [], 0, 0
+        for batch in batches:
+            ids.append(batch.column("id").to_numpy(zero_copy_only=False))
+            ths.append(batch.column("th").to_numpy(zero_copy_only=False))
+            for d, text, pos in _texts_and_anchors(batch):
+                for a in range(0, len(pos), GATHER_CONTEXTS):
+                    p = pos[a : a + GATHER_CONTEXTS]
+                    docs.append(np.full(len(p), base + d))
+                    places.append(p)
+                    rows.append(_context_rows(text, p))
+                    n += len(p)
+                    if n >= GATHER_CONTEXTS:
+                        yield from send(*map(np.concatenate, (ids, ths, docs, places, rows)))
+                        docs, places, rows, n = [], [], [], 0
+            base += batch.num_rows
+        if n:
+            yield from send(*map(np.concatenate, (ids, ths, docs, places, rows)))
+
+    return run
 
 
 def multikey_quicksort(rows: np.ndarray) -> np.ndarray:
@@ -299,39 +357,41 @@ def least_ids(ctx: np.ndarray, low: np.ndarray) -> np.ndarray:
     return out
 
 
-_LEAST = pa.schema([("ctx", pa.binary()), ("least", pa.binary())])
-
-
-def _bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Whole range buckets of (ctx, low, high) to the smallest id of each window, where one is below high."""
-    got = [(np.frombuffer(b"".join(b.column("ctx").to_pylist()), np.uint8).reshape(-1, CONTEXT + 2), *(b.column(c).to_numpy() for c in ("low", "high"))) for b in batches if b.num_rows]
-    if not got:
-        return
-    ctx, low, high = map(np.concatenate, zip(*got))
-    # contexts whose gram is in no other context and no other document settle nothing
-    least = least_ids(ctx, low)
-    rows = np.flatnonzero((least < high[:, None]).any(axis=1))
-    for a in range(0, len(rows), 20_000):
-        o = rows[a : a + 20_000]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([x.tobytes() for x in ctx[o]], pa.binary()), pa.array([x.tobytes() for x in least[o]], pa.binary())], schema=_LEAST
-        )
-
-
 _MARKS = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("mark", pa.int64())])
 
 
-def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, th, pos, least) to pos and the mask of windows that start in a smaller id, in one number."""
-    bit = np.int64(1) << np.arange(WINDOW, dtype=np.int64)
+def _bucket_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whole range buckets to (id, th, mark) of places with a window that starts in a smaller id.
+
+    A mark is the place and, in the low bits, the windows.
+    """
+    contexts, counts, ids, ths, places = [], [], [], [], []
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        ids, ths, pos = (batch.column(c).to_numpy() for c in ("id", "th", "pos"))
-        least = np.frombuffer(b"".join(batch.column("least").to_pylist()), np.int64).reshape(-1, WINDOW)
-        mask = ((least < ids[:, None]) * bit).sum(axis=1)
-        o = np.flatnonzero(mask)
-        yield pa.RecordBatch.from_arrays([pa.array(ids[o]), pa.array(ths[o]), pa.array(pos[o].astype(np.int64) << 32 | mask[o])], schema=_MARKS)
+        for r in batch.to_pylist():
+            data = pa.decompress(r["data"], decompressed_size=r["n"], codec="zstd", asbytes=True)
+            at = np.r_[32, 32 + np.cumsum(np.frombuffer(data[:32], np.int64))]
+            rows, many, local, pos = (data[a:z] for a, z in zip(at, at[1:]))
+            contexts.append(np.frombuffer(rows, np.uint8).reshape(-1, CONTEXT + 2))
+            counts.append(np.frombuffer(many, np.uint32))
+            local = np.frombuffer(local, np.uint32)
+            ids.append(np.frombuffer(r["ids"], np.int64)[local])
+            ths.append(np.frombuffer(r["ths"], np.int64)[local])
+            places.append(np.frombuffer(pos, np.uint32).astype(np.int64))
+    if not contexts:
+        return
+    contexts, counts, ids, ths, places = map(np.concatenate, (contexts, counts, ids, ths, places))
+    begins = np.r_[0, np.cumsum(counts[:-1], dtype=np.int64)]
+    least = least_ids(contexts, np.minimum.reduceat(ids, begins))
+    of = np.repeat(np.arange(len(counts)), counts)
+    bit = np.int64(1) << np.arange(WINDOW, dtype=np.int64)
+    for a in range(0, len(of), 50_000):
+        o = slice(a, a + 50_000)
+        mask = ((least[of[o]] < ids[o, None]) * bit).sum(axis=1)
+        hit = np.flatnonzero(mask)
+        if len(hit):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids[o][hit]), pa.array(ths[o][hit]), pa.array(places[o][hit] << 32 | mask[hit])], schema=_MARKS
+            )
 
 
 def _covered(n: int, marks: np.ndarray) -> np.ndarray:
@@ -401,24 +461,20 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     shared = sent.repartition(buckets, "bucket").mapInArrow(_shared_anchors, "id long, th long, pos int")
     shared = checkpointed(shared.groupBy("id", "th").agg(F.collect_list("pos").alias("at")))
 
-    # 2. contexts of the first of each group of equal texts; copies need no suffixes of their own
+    # 2. the first of each group of equal texts; copies need no contexts of their own
     narrow = base.select("id", "th", F.sha2("text", 256).alias("sha"))
     first = narrow.join(narrow.groupBy("sha").agg(F.min("id").alias("first")), "sha").select("id", "th", "first").distinct()
     whole = base.repartition("id", "th")
     ones = shared.join(first.where(F.col("id") == F.col("first")), ["id", "th"]).select("id", "th", "at")
-    contexts = whole.join(ones.hint("shuffle_hash"), ["id", "th"]).select("id", "th", "text", "at").mapInArrow(
-        _contexts, "ctx binary, id long, th long, pos int"
-    )
-
-    # 3. distinct contexts, range-partitioned by the gram at the anchor
-    distinct = contexts.groupBy("ctx").agg(F.min("id").alias("low"), F.max("id").alias("high"))
-    gram = F.substring("ctx", 3 + LEFT, GRAM)
-    least = distinct.repartitionByRange(partitions(docs.sparkSession), gram).mapInArrow(_bucket, "ctx binary, least binary")
-
-    # 4. members meet their context again, by a 128-bit name
-    names = [F.xxhash64("ctx").alias("k1"), F.xxhash64(F.lit(1), F.col("ctx")).alias("k2")]
-    members = contexts.select(*names, "id", "th", "pos")
-    marks = members.join(least.select(*names, "least"), ["k1", "k2"]).select("id", "th", "pos", "least").mapInArrow(_marks, "id long, th long, mark long")
+    # 3. range buckets of contexts; the sample for the splitters is bounded by the number of buckets
+    docs_sampled = SAMPLE_DOCS * buckets
+    sample = base.select("id", "th", "text").join(F.broadcast(shared.limit(docs_sampled)), ["id", "th"])
+    grams = sorted(r["gram"] for r in sample.select("text", "at").mapInArrow(_sampled_grams, "gram binary").toLocalIterator())
+    splitters = sorted({bytes(grams[k * len(grams) // buckets]) for k in range(1, buckets)}) if grams else []
+    contexts = whole.join(ones.hint("shuffle_hash"), ["id", "th"]).select("id", "th", "text", "at").mapInArrow(_send_contexts(splitters), CONTEXTS)
+    marks = contexts.repartition(buckets, "bucket").mapInArrow(_bucket_marks, "id long, th long, mark long")
+
+    # 4. marks back to their documents
     marks = marks.groupBy("id", "th").agg(F.collect_list("mark").alias("marks"))
     joined = whole.join(first.hint("shuffle_hash"), ["id", "th"]).join(marks.hint("shuffle_hash"), ["id", "th"], "left").select("id", "text", "first", "marks", "row")
     result = StructType.fromDDL("id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string").add(joined.schema["row"])
