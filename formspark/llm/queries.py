@@ -6,6 +6,7 @@ from .common import table
 from .decontaminate import contaminated
 from .fingerprints import edited_fingerprints
 from .licenses import license_scan
+from .mixing import mix
 from .simhash import simhash_components
 from .suffix_dedup import suffix_dedup
 from .token_counts import count_tokens
@@ -37,6 +38,10 @@ def op6_license_scan(spark, sf_dir):
     return license_scan(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op7_mixing(spark, sf_dir):
+    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_decontaminate(spark, sf_dir):
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -52,6 +57,7 @@ QUERIES = {
     "op4_token_counts": op4_token_counts,
     "op5_simhash": op5_simhash,
     "op6_license_scan": op6_license_scan,
+    "op7_mixing": op7_mixing,
     "op9_decontaminate": op9_decontaminate,
     "op10_url_filter": op10_url_filter,
 }
