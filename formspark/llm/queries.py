@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .common import table
+from .chat import link_quotations
 from .decontaminate import contaminated
 from .fingerprints import edited_fingerprints
 from .licenses import license_scan
@@ -42,6 +43,10 @@ def op7_mixing(spark, sf_dir):
     return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_chat_quotes(spark, sf_dir):
+    return link_quotations(table(spark, sf_dir, "conversations"))
+
+
 def op9_decontaminate(spark, sf_dir):
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -58,11 +63,54 @@ QUERIES = {
     "op5_simhash": op5_simhash,
     "op6_license_scan": op6_license_scan,
     "op7_mixing": op7_mixing,
+    "op8_chat_quotes": op8_chat_quotes,
     "op9_decontaminate": op9_decontaminate,
     "op10_url_filter": op10_url_filter,
 }
 
+CHAT_SQL = r"""
+WITH RECURSIVE m AS (
+  SELECT row_number() OVER () AS rid, conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS t,
+         regexp_split_to_array(coalesce(text, ''), '\r?\n') AS ls FROM conversations),
+own AS (
+  SELECT *, array_to_string(list_filter(ls, lambda x, i: NOT regexp_matches(x, '^\s*>')
+      AND NOT (regexp_matches(x, '(wrote|writes|said|schrieb|escribió|écrit)\s*:\s*$') AND coalesce(regexp_matches(ls[i + 1], '^\s*>'), false))), chr(10)) AS own FROM m),
+units AS (
+  SELECT DISTINCT conv_id, turn, unnest(list_distinct(list_concat(list_concat(regexp_split_to_array(own, '\n\s*\n'), string_split(own, chr(10))), [own]))) AS u FROM own),
+norm_units AS (
+  SELECT conv_id, turn, trim(regexp_replace(regexp_replace(regexp_replace(lower(replace(u, chr(10), ' ')), '^(?:\s*>)+', ''), '[\p{P}\p{S}]+', ' ', 'g'), '\s+', ' ', 'g')) AS n FROM units),
+keys AS (SELECT conv_id, n, min(turn) AS origin FROM norm_units WHERE n <> '' GROUP BY conv_id, n),
+lines AS (SELECT rid, conv_id, turn, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM m),
+leveled AS (
+  SELECT *, length(regexp_replace(regexp_extract(line, '^((?:\s*>)+)', 1), '[^>]', '', 'g')) AS lv,
+         trim(regexp_replace(regexp_replace(regexp_replace(lower(line), '^(?:\s*>)+', ''), '[\p{P}\p{S}]+', ' ', 'g'), '\s+', ' ', 'g')) AS n FROM lines),
+marked AS (SELECT *, CASE WHEN lag(lv) OVER (PARTITION BY rid ORDER BY pos) IS DISTINCT FROM lv THEN 1 ELSE 0 END AS fresh FROM leveled),
+runs AS (SELECT *, sum(fresh) OVER (PARTITION BY rid ORDER BY pos) AS no FROM marked),
+passages AS (
+  SELECT rid, conv_id, turn, no, lv, list_filter(list(n ORDER BY pos), lambda x: x <> '') AS ns FROM runs WHERE lv > 0 GROUP BY rid, conv_id, turn, no, lv),
+keyed AS (
+  SELECT rid, conv_id, turn, no, lv, array_to_string(ns, ' ') AS n, len(ns) + 1 AS w FROM passages
+  UNION ALL SELECT rid, conv_id, turn, no, lv, unnest(ns), 1 FROM passages),
+votes AS (
+  SELECT k.rid, k.no, k.lv, CASE WHEN origin < k.turn THEN origin END AS origin, sum(w) AS w
+  FROM keyed k LEFT JOIN keys USING (conv_id, n) GROUP BY 1, 2, 3, 4),
+best AS (
+  SELECT rid, no, lv, arg_max(origin, (w, -origin)) FILTER (WHERE origin IS NOT NULL) AS origin FROM votes GROUP BY rid, no, lv),
+links AS (
+  SELECT rid, count(*) AS n_quotes, count(origin) AS n_linked, arg_min(origin, (lv, no)) FILTER (WHERE origin IS NOT NULL) AS parent FROM best GROUP BY rid),
+edges AS (
+  SELECT conv_id, turn, min(parent) AS parent FROM m JOIN links USING (rid) WHERE parent IS NOT NULL GROUP BY conv_id, turn),
+walk AS (
+  SELECT conv_id, turn, parent AS root, 1 AS depth FROM edges
+  UNION ALL SELECT w.conv_id, w.turn, e.parent, w.depth + 1 FROM walk w JOIN edges e ON e.conv_id = w.conv_id AND e.turn = w.root),
+roots AS (SELECT conv_id, turn, arg_max(root, depth) AS root, max(depth) AS depth FROM walk GROUP BY conv_id, turn)
+SELECT o.conv_id, o.turn, o.role, o.own AS text, coalesce(n_quotes, 0) AS n_quotes, coalesce(n_linked, 0) AS n_linked, parent AS parent_turn,
+       coalesce(r.root, o.turn) AS root_turn, coalesce(r.depth, 0) AS depth, '<|' || o.role || '|>' || chr(10) || o.own AS formatted
+FROM own o LEFT JOIN links USING (rid) LEFT JOIN roots r ON r.conv_id = o.conv_id AND r.turn = o.turn
+"""
+
 ORACLES = {
+    "op8_chat_quotes": CHAT_SQL,
     "op10_url_filter": r"""
 WITH rules(verdict, rhost, rpath) AS (
   VALUES ('allow','com','/'), ('block','example.com','/en/'), ('allow','www.example.com','/en/'),
