@@ -44,8 +44,10 @@ CONTEXT = LEFT + LENGTH
 #: bytes of text handled at a time
 BLOCK = 1_000_000
 #: anchors that a batch gathers before it sends them on
-GATHER = 2_000_000
-GATHER_CONTEXTS = 300_000
+GATHER = 700_000
+GATHER_CONTEXTS = 150_000
+#: range buckets for each shuffle partition; a task holds one bucket at a time
+BUCKETS = 4
 #: documents for each bucket, and grams of each, that the splitters are sampled from
 SAMPLE_DOCS = 20
 SAMPLE_GRAMS = 20
@@ -361,24 +363,34 @@ _MARKS = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("mark", pa.int64())
 
 
 def _bucket_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Whole range buckets to (id, th, mark) of places with a window that starts in a smaller id.
+    """Range buckets, each in one run of rows, to (id, th, mark) of places with a window that starts in a smaller id.
 
     A mark is the place and, in the low bits, the windows.
     """
-    contexts, counts, ids, ths, places = [], [], [], [], []
+    now, rows = None, []
     for batch in batches:
         for r in batch.to_pylist():
-            data = pa.decompress(r["data"], decompressed_size=r["n"], codec="zstd", asbytes=True)
-            at = np.r_[32, 32 + np.cumsum(np.frombuffer(data[:32], np.int64))]
-            rows, many, local, pos = (data[a:z] for a, z in zip(at, at[1:]))
-            contexts.append(np.frombuffer(rows, np.uint8).reshape(-1, CONTEXT + 2))
-            counts.append(np.frombuffer(many, np.uint32))
-            local = np.frombuffer(local, np.uint32)
-            ids.append(np.frombuffer(r["ids"], np.int64)[local])
-            ths.append(np.frombuffer(r["ths"], np.int64)[local])
-            places.append(np.frombuffer(pos, np.uint32).astype(np.int64))
-    if not contexts:
-        return
+            if r["bucket"] != now and rows:
+                yield from _marks_of(rows)
+                rows = []
+            now = r["bucket"]
+            rows.append(r)
+    if rows:
+        yield from _marks_of(rows)
+
+
+def _marks_of(bucket: list[dict]) -> Iterator[pa.RecordBatch]:
+    contexts, counts, ids, ths, places = [], [], [], [], []
+    for r in bucket:
+        data = pa.decompress(r["data"], decompressed_size=r["n"], codec="zstd", asbytes=True)
+        at = np.r_[32, 32 + np.cumsum(np.frombuffer(data[:32], np.int64))]
+        rows, many, local, pos = (data[a:z] for a, z in zip(at, at[1:]))
+        contexts.append(np.frombuffer(rows, np.uint8).reshape(-1, CONTEXT + 2))
+        counts.append(np.frombuffer(many, np.uint32))
+        local = np.frombuffer(local, np.uint32)
+        ids.append(np.frombuffer(r["ids"], np.int64)[local])
+        ths.append(np.frombuffer(r["ths"], np.int64)[local])
+        places.append(np.frombuffer(pos, np.uint32).astype(np.int64))
     contexts, counts, ids, ths, places = map(np.concatenate, (contexts, counts, ids, ths, places))
     begins = np.r_[0, np.cumsum(counts[:-1], dtype=np.int64)]
     least = least_ids(contexts, np.minimum.reduceat(ids, begins))
@@ -467,12 +479,13 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     whole = base.repartition("id", "th")
     ones = shared.join(first.where(F.col("id") == F.col("first")), ["id", "th"]).select("id", "th", "at")
     # 3. range buckets of contexts; the sample for the splitters is bounded by the number of buckets
+    ranges = BUCKETS * buckets
     docs_sampled = SAMPLE_DOCS * buckets
     sample = base.select("id", "th", "text").join(F.broadcast(shared.limit(docs_sampled)), ["id", "th"])
     grams = sorted(r["gram"] for r in sample.select("text", "at").mapInArrow(_sampled_grams, "gram binary").toLocalIterator())
-    splitters = sorted({bytes(grams[k * len(grams) // buckets]) for k in range(1, buckets)}) if grams else []
+    splitters = sorted({bytes(grams[k * len(grams) // ranges]) for k in range(1, ranges)}) if grams else []
     contexts = whole.join(ones.hint("shuffle_hash"), ["id", "th"]).select("id", "th", "text", "at").mapInArrow(_send_contexts(splitters), CONTEXTS)
-    marks = contexts.repartition(buckets, "bucket").mapInArrow(_bucket_marks, "id long, th long, mark long")
+    marks = contexts.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_bucket_marks, "id long, th long, mark long")
 
     # 4. marks back to their documents
     marks = marks.groupBy("id", "th").agg(F.collect_list("mark").alias("marks"))
