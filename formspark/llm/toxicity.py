@@ -185,23 +185,50 @@ def _parts(text: str) -> set[tuple[str, bool]]:
     return {(w, False) for w in words} | {(w[:n], True) for w in words for n in STEMS if len(w) >= n}
 
 
-def _candidates(toxic: list[set]) -> Counter:
-    counts = Counter(p for parts in toxic for p in parts)
-    return Counter({p: n for p, n in counts.items() if n >= LEAST})
+def _counts(texts: DataFrame, wanted: frozenset | None, least: int) -> dict[tuple[str, bool], int]:
+    """In how many texts each word or beginning is; of the wanted ones, or those in at least so many."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for a in range(0, len(batch), 200):
+                seen: Counter = Counter()
+                for text in batch["_t"].iloc[a : a + 200]:
+                    parts = _parts(text)
+                    seen.update(parts if wanted is None else parts & wanted)
+                yield pd.DataFrame([(w, s, k) for (w, s), k in seen.items()], columns=["part", "stem", "n"])
+
+    counted = texts.select("_t").mapInPandas(count, "part string, stem boolean, n long").groupBy("part", "stem").agg(F.sum("n").alias("n"))
+    return {(r["part"], r["stem"]): r["n"] for r in counted.where(F.col("n") >= least).toLocalIterator()}
+
 
+_FACTORS = np.random.default_rng(5).integers(1, 2**62, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-def _merged_copies(toxic: list[set]) -> list[set]:
+
+def _held(good: frozenset):
+    """Of each text four bands of a MinHash of its words, and the good words and beginnings in it."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for text in batch["_t"]:
+                parts = _parts(text)
+                words = np.array([zlib.crc32(w.encode()) for w, stem in parts if not stem], np.uint64)
+                bands = []
+                if len(words):
+                    least = (words[:, None] * _FACTORS >> np.uint64(20)).min(axis=0)
+                    bands = [hash((k, *least[4 * k : 4 * k + 4].tolist())) for k in range(4)]
+                kept = parts & good
+                rows.append((bands, sorted(w for w, s in kept if not s), sorted(w for w, s in kept if s)))
+            yield pd.DataFrame(rows, columns=["bands", "parts", "stems"])
+
+    return run
+
+
+def _merged_copies(toxic: list[tuple[list[int], set]]) -> list[set]:
     """Near copies become one text, or their ordinary words would look toxic."""
-    rng = np.random.default_rng(5)
-    factors = rng.integers(1, 2**62, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    leader, out = {}, []
-    for parts in toxic:
-        words = np.array([zlib.crc32(w.encode()) for w, stem in parts if not stem], np.uint64)
-        if not len(words):
-            out.append(set(parts))
-            continue
-        least = (words[:, None] * factors >> np.uint64(20)).min(axis=0)
-        bands = [(k, tuple(least[4 * k : 4 * k + 4])) for k in range(4)]
+    leader: dict[int, int] = {}
+    out: list[set] = []
+    for bands, parts in toxic:
         at = next((leader[x] for x in bands if x in leader), len(out))
         if at == len(out):
             out.append(set())
@@ -211,14 +238,14 @@ def _merged_copies(toxic: list[set]) -> list[set]:
     return out
 
 
-def learn_terms(toxic: list[set], others: dict, n_others: int) -> dict[str, bool]:
+def learn_terms(toxic: list[tuple[list[int], set]], others: dict, n_others: int) -> dict[str, bool]:
     """Terms of the toxic texts; others counts the other texts that hold a candidate.
 
     First a greedy cover, by terms that explain texts left unexplained so far; then terms so frequent
     in texts that are no copies of each other that they cannot be ordinary words.
     """
     toxic = _merged_copies(toxic)
-    counts = _candidates(toxic)
+    counts = Counter(p for parts in toxic for p in parts)
     base = (n_others + 1) / max(len(toxic), 1)
     where: dict[tuple[str, bool], set[int]] = {}
     for d, parts in enumerate(toxic):
@@ -291,24 +318,17 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     # the sample is bounded by its two limits, so it may be broadcast
     sample = docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("_t")).join(F.broadcast(taken), id_col).select("_t", "_y")
     sample = checkpointed(sample.distinct())
-    toxic = [_parts(r["_t"]) for r in sample.where("_y").toLocalIterator()]
-    wanted = frozenset(_candidates(toxic))
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen, n = Counter(), 0
-        for batch in batches:
-            for text in batch["_t"]:
-                n += 1
-                seen.update(_parts(text) & wanted)
-        rows = [(w, s, k) for (w, s), k in seen.items()] + [("", False, n)]
-        yield pd.DataFrame(rows, columns=["part", "stem", "n"])
-
-    counted = sample.where(~F.col("_y")).select("_t").mapInPandas(count, "part string, stem boolean, n long")
-    others = {(r["part"], r["stem"]): r["n"] for r in counted.groupBy("part", "stem").agg(F.sum("n").alias("n")).collect()}
-    n_others = others.pop(("", False), 0)
+    # the driver gets counts of candidates and, of each toxic text, those that are left and its signature
+    n_toxic, n_others = (sample.where(c).count() for c in ("_y", "not _y"))
+    wanted = _counts(sample.where("_y"), None, LEAST)
+    others = _counts(sample.where("not _y"), frozenset(wanted), 1)
+    base = (n_others + 1) / max(n_toxic, 1)
+    good = frozenset(p for p, n in wanted.items() if n * base >= RATIO * (others.get(p, 0) + 0.5))
+    held = sample.where("_y").mapInPandas(_held(good), "bands array<long>, parts array<string>, stems array<string>").toLocalIterator()
+    toxic = [(r["bands"], {(w, False) for w in r["parts"]} | {(w, True) for w in r["stems"]}) for r in held]
     terms = learn_terms(toxic, others, n_others) if toxic and n_others else {}
     if not terms:
-        share = (len(toxic) + 0.5) / (len(toxic) + n_others + 1)
+        share = (n_toxic + 0.5) / (n_toxic + n_others + 1)
         return Model((), (), (float(np.log(share / (1 - share))), 0.0, 0.0))
 
     # a term whose misspellings are ordinary words keeps to its exact form
