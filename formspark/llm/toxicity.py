@@ -76,10 +76,17 @@ class Trie:
             for c in term:
                 node = node[0].setdefault(c, [{}, None])
             node[1] = term
-        self.most = max((0 if t in self.exact_only else errors_allowed(t, s) for t, s in self.terms.items()), default=0)
+        allowed = {t: 0 if t in self.exact_only else errors_allowed(t, s) for t, s in self.terms.items()}
+        self.most = max(allowed.values(), default=0)
+        # k errors leave one of k + 1 pieces of a term as it is, so a word with no piece of any term matches none
+        pieces = {t[len(t) * i // (k + 1) : len(t) * (i + 1) // (k + 1)] for t, k in allowed.items() for i in range(k + 1)}
+        least = sorted((p for p in pieces if not any(q != p and q in p for q in pieces)), key=lambda p: (len(p), p))
+        self.piece = re.compile("|".join(map(re.escape, least))).search if least else lambda _: None
 
     def match(self, word: str) -> tuple[str, int] | None:
         """The term with the fewest errors that accepts the word, and its errors; ties: the longest, then the first."""
+        if not self.piece(word):
+            return None
         masks: dict[str, int] = {}
         for i, c in enumerate(word):
             masks[c] = masks.get(c, 0) | 1 << (i + 1)
@@ -127,7 +134,7 @@ class Matcher(dict):
         if len(self) >= CACHE:
             self.clear()
         plain = word if word.isalpha() else word.translate(LEET)
-        hit = self[word] = self.trie.match(plain) if len(plain) >= 3 else None
+        hit = self[word] = self.trie.match(plain)
         return hit
 
 
