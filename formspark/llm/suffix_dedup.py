@@ -48,6 +48,8 @@ GATHER = 700_000
 GATHER_CONTEXTS = 150_000
 #: range buckets for each shuffle partition; a task holds one bucket at a time
 BUCKETS = 4
+#: texts with more copies than this share of all documents (one in so many), and over 1000, are broadcast
+MOST_COPIED = 1000
 #: documents for each bucket, and grams of each, that the splitters are sampled from
 SAMPLE_DOCS = 20
 SAMPLE_GRAMS = 20
@@ -453,6 +455,20 @@ def _results(keep_text: bool):
     return run
 
 
+def _first_copies(narrow: DataFrame, n: int) -> DataFrame:
+    """(id, th, first): of every text the smallest id that has the same one.
+
+    Sizes are combined before their shuffle.  Texts with very many copies are fewer than MOST_COPIED by
+    the bound on their size, so they are broadcast and their copies never meet in one task.
+    """
+    groups = narrow.groupBy("sha").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    bound = max(1000, n // MOST_COPIED)
+    large = narrow.join(F.broadcast(groups.where(F.col("n") > bound).select("sha", F.col("first").alias("_large"))), "sha", "left")
+    some = groups.where((F.col("n") > 1) & (F.col("n") <= bound)).select("sha", "first")
+    rest = large.where("_large is null").join(some, "sha", "left").select("id", "th", F.coalesce("first", "id").alias("first"))
+    return rest.unionAll(large.where("_large is not null").select("id", "th", F.col("_large").alias("first"))).distinct()
+
+
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """One row per input row: id, n_bytes, n_removed, n_spans, kept_sha256; with ``keep`` also kept_text.
 
@@ -475,7 +491,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     # 2. the first of each group of equal texts; copies need no contexts of their own
     narrow = base.select("id", "th", F.sha2("text", 256).alias("sha"))
-    first = narrow.join(narrow.groupBy("sha").agg(F.min("id").alias("first")), "sha").select("id", "th", "first").distinct()
+    first = _first_copies(narrow, docs.count())
     whole = base.repartition("id", "th")
     ones = shared.join(first.where(F.col("id") == F.col("first")), ["id", "th"]).select("id", "th", "at")
     # 3. range buckets of contexts; the sample for the splitters is bounded by the number of buckets
