@@ -65,3 +65,18 @@ def disk_state(free_bytes: Column, pending: Column, each: int = 50 * 1024) -> Co
     """danger below what the pending pages need, warning below twice that, else ok."""
     need = pending * each
     return F.when(free_bytes < need, "danger").when(free_bytes < 2 * need, "warning").otherwise("ok")
+
+
+def directory_summary(manifest: DataFrame, counts: DataFrame, runs: DataFrame, directory: str = "directory") -> DataFrame:
+    """Progress of each directory with its file issues, its state and its last run.
+
+    manifest: directory, done, n_records; counts: directory, n_first, n_second; runs: directory, completed
+    and any other columns of the run log.  A directory without runs has a null last_run.
+    """
+    from .quality import file_issues
+
+    last = runs.groupBy(directory).agg(F.max_by(F.struct(*[c for c in runs.columns if c != directory]), "completed").alias("last_run"))
+    done = progress(manifest, directory).where(F.col(directory).isNotNull())
+    out = done.join(file_issues(counts), directory, "left").join(last, directory, "left")
+    state = F.when(F.col("pending") == 0, "complete").when(F.col("done") > 0, "partial").otherwise("new")
+    return out.withColumn("state", state).withColumn("valid", F.coalesce(F.size("issues") == 0, F.lit(False)))

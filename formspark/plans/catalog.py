@@ -868,3 +868,44 @@ def grouped_positions(spark, d):
 def proportional_cells(spark, d):
     k = F.col("p_partkey")
     return G.proportional_cells(table(spark, d, "part").select(k.alias("page"), (900 + k % 400).alias("height"), (600 + k % 300).alias("width")))
+
+
+# ---------------------------------------------------------------- summaries over several tables
+
+
+@query(
+    "directory_summary",
+    """WITH m AS (SELECT c_mktsegment AS directory, o_orderstatus = 'F' AS done, o_custkey AS n FROM orders JOIN customer ON c_custkey = o_custkey),
+       p AS (SELECT directory, count(*) AS total, count_if(done) AS done, CAST(sum(CASE WHEN done THEN n ELSE 0 END) AS BIGINT) AS records FROM m GROUP BY directory),
+       f AS (SELECT c_mktsegment AS directory, count_if(c_nationkey < 12) AS n_first, count_if(c_nationkey >= 12) AS n_second FROM customer GROUP BY 1),
+       r AS (SELECT c_mktsegment AS directory, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS last_run FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1)
+       SELECT p.directory, total, done, records, total - done AS pending, round_even(done * 100.0::DOUBLE / total, 1) AS pct, n_first, n_second, n_first > 0 AND n_first = n_second AS valid,
+       CASE WHEN total = done THEN 'complete' WHEN done > 0 THEN 'partial' ELSE 'new' END AS state, last_run FROM p JOIN f USING (directory) JOIN r USING (directory)""",
+)
+def directory_summary(spark, d):
+    c = table(spark, d, "customer").select("c_custkey", F.col("c_mktsegment").alias("directory"), "c_nationkey")
+    o = table(spark, d, "orders").join(c, F.col("c_custkey") == F.col("o_custkey"))
+    manifest = o.select("directory", (F.col("o_orderstatus") == "F").alias("done"), F.col("o_custkey").alias("n_records"))
+    counts = c.groupBy("directory").agg(F.count_if(F.col("c_nationkey") < 12).alias("n_first"), F.count_if(F.col("c_nationkey") >= 12).alias("n_second"))
+    runs = o.select("directory", F.struct("o_orderdate", "o_orderkey").alias("completed"), "o_orderkey")
+    out = M.directory_summary(manifest, counts, runs)
+    return out.select("directory", "total", "done", "records", "pending", "pct", "n_first", "n_second", "valid", "state", F.col("last_run.o_orderkey").alias("last_run"))
+
+
+@query(
+    "legacy_rows",
+    "SELECT c_custkey AS k, c_name AS name FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT c_custkey, 'old' FROM customer WHERE c_custkey % 2 = 0 AND c_custkey % 3 <> 0",
+)
+def legacy_rows(spark, d):
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name"))
+    return S.with_legacy(c.where("k % 3 = 0"), c.where("k % 2 = 0").withColumn("name", F.lit("old")), "k")
+
+
+@query(
+    "conversation_positions",
+    "SELECT conv_id, count(*) AS n_records, max(turn) AS last_turn FROM conversations GROUP BY conv_id HAVING NOT count(*) BETWEEN 4 AND 6",
+)
+def conversation_positions(spark, d):
+    c = table(spark, d, "conversations")
+    odd = W.odd_pages(c, ["conv_id"], 4, 6)
+    return odd.join(c.groupBy("conv_id").agg(F.max("turn").alias("last_turn")), "conv_id")

@@ -94,3 +94,9 @@ def log_lines(spark: SparkSession, path: str) -> DataFrame:
     if ".." in path.split("/"):
         raise ValueError("the path leaves the folder")
     return spark.read.text(path).select(F.col("value").alias("line"), F.monotonically_increasing_id().alias("line_no"))
+
+
+def valid_directory(name: str) -> bool:
+    """Whether a name is that of a directory of one constituency: AC- and one to three digits."""
+    digits = name.removeprefix("AC-")
+    return name.startswith("AC-") and digits.isascii() and digits.isdigit() and 1 <= len(digits) <= 3

@@ -65,3 +65,18 @@ def download(df: DataFrame) -> Iterator[str]:
     yield "﻿" + line(df.columns)
     for row in df.toLocalIterator(prefetchPartitions=False):
         yield line(row)
+
+
+def write_split_pages(pages: DataFrame, path: str, key: str, page: str = "page_no", force: bool = False) -> int:
+    """Write page texts by document, those not there yet or all with force; returns how many pages."""
+    spark, new = pages.sparkSession, pages
+    if not force:
+        try:
+            there = spark.read.parquet(path).select(key, page).distinct()
+            new = pages.join(there, [key, page], "left_anti")
+        except Exception as missing:
+            if "PATH_NOT_FOUND" not in str(missing):
+                raise
+    n = new.count()
+    new.write.mode("overwrite" if force else "append").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
+    return n

@@ -52,3 +52,14 @@ def reset(spark: SparkSession, manifest: str, keep) -> None:
     side = manifest.rstrip("/") + ".next"
     kept.write.mode("overwrite").parquet(side)
     spark.read.parquet(side).write.mode("overwrite").parquet(manifest)
+
+
+def migrated(spark: SparkSession, old: str, new: str) -> DataFrame:
+    """The manifest at the new path; copied from the old one first if only that is there."""
+    try:
+        return spark.read.parquet(new)
+    except Exception as missing:
+        if "PATH_NOT_FOUND" not in str(missing):
+            raise
+    spark.read.parquet(old).write.mode("errorifexists").parquet(new)
+    return spark.read.parquet(new)

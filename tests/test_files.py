@@ -81,3 +81,38 @@ def test_cli(spark, tmp_path):
     assert cli.main(["merge", str(tmp_path), str(tmp_path / "out"), "--part", "2-2"], spark) == 0
     assert files.record_files(spark, str(tmp_path / "out")).count() == 1
     assert cli.main(["analyze", str(tmp_path / "a_page_1.csv")], spark) == 0
+
+
+def test_pages_and_legacy(spark, tmp_path):
+    docs = spark.createDataFrame([("a", "one\ftwo\fthree"), ("b", None)], "doc string, text string")
+    pages = files.split_pages(docs, skip_pages=1).drop("text")
+    assert sorted(map(tuple, pages.collect())) == [("a", "three", 3), ("a", "two", 2)]
+    assert sinks.write_split_pages(pages, str(tmp_path / "p"), "doc") == 2
+    assert sinks.write_split_pages(files.split_pages(docs).drop("text"), str(tmp_path / "p"), "doc") == 2
+    assert spark.read.parquet(str(tmp_path / "p")).count() == 4
+    new, old = spark.createDataFrame([(1, "n")], "k int, v string"), spark.createDataFrame([(1, "o"), (2, "o")], "k int, v string")
+    assert sorted(map(tuple, files.with_legacy(new, old, "k").collect())) == [(1, "n"), (2, "o")]
+    assert files.valid_directory("AC-188") and not any(map(files.valid_directory, ("AC-", "AC-1888", "AC-x", "ac-1", "AC-١")))
+
+
+def test_logs(spark, tmp_path):
+    (tmp_path / "a.log").write_text("[OK] x\nfailed\nplain\n")
+    (tmp_path / "b.json").write_text("{}")
+    (tmp_path / "c.txt").write_text("no")
+    listing = files.log_listing(spark.read.format("binaryFile").load(str(tmp_path)))
+    assert sorted(r["name"] for r in listing.collect()) == ["a.log", "b.json"]
+    tail = files.tail(files.log_lines(spark, str(tmp_path / "a.log")), ["line_no"], 2).collect()
+    assert [(r.line, r.severity) for r in tail] == [("plain", ""), ("failed", "error")]
+    try:
+        files.log_lines(spark, f"{tmp_path}/../x")
+        raise AssertionError
+    except ValueError:
+        pass
+
+
+def test_manifest_moves(spark, tmp_path):
+    spark.range(3).write.parquet(str(tmp_path / "old"))
+    for _ in range(2):
+        assert incremental.migrated(spark, str(tmp_path / "old"), str(tmp_path / "new")).count() == 3
+    incremental.reset(spark, str(tmp_path / "new"), F.col("id") > 0)
+    assert spark.read.parquet(str(tmp_path / "new")).count() == 2
