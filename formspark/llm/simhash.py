@@ -5,11 +5,12 @@ all shingles of three words.  A bit of the 64-bit fingerprint is set if it is se
 shingles' XXH64 hashes.
 
 Search.  A fingerprint is cut into segments of 22, 21 and 21 bits, each padded to a 23-bit word of
-the perfect binary Golay code.  Two fingerprints that differ in at most three bits have at least two
-segments that differ in at most one bit each (two bits in each of two segments would be four).  A
-segment's fuzzy keys are the codeword indices of all words within one bit of it, so segments up to
-two bits apart share one.  Each of the three pairs of segments gives the product of its keys; equal
-keys meet in a shuffle, and every meeting is verified on the whole fingerprints.
+the perfect binary Golay code.  A segment's fuzzy keys are the codeword indices of all words within
+one bit of it, so segments up to two bits apart share one.  Two fingerprints that differ in at most
+three bits either have a segment without errors, and then another with one at most: an exact
+segment and a fuzzy key of another, 33 bits or more.  Or every segment has exactly one error: fuzzy keys of
+two segments, and the half of the third that the error is not in, 34 bits.  Equal keys meet in a
+shuffle, and every meeting is verified on the whole fingerprints.
 
 Documents with one fingerprint are one node, so exact copies never multiply; a bucket gives a
 spanning forest of its verified links, so a dense group gives no more links than members.
@@ -35,6 +36,8 @@ MAX_BITS = 3
 SEED = 42
 #: first bit and width of each segment
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
+#: first bit of a key's kind
+KIND = 36
 #: generator polynomial of the (23, 12) Golay code
 GENERATOR = 0b101011100011
 #: buckets up to this size are compared by shifts over the whole batch, larger ones one by one
@@ -113,30 +116,43 @@ def decode(words: np.ndarray) -> np.ndarray:
     return (words ^ errors[syndrome]) >> 11
 
 
+def _fuzzy(prints: np.ndarray, first: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The segment of each fingerprint; of each row its distinct fuzzy keys, others -1."""
+    word = (prints >> np.uint64(first)).astype(np.int64) & ((1 << width) - 1)
+    near = np.stack([decode(word), *(decode(word ^ (1 << i)) for i in range(width))], axis=1)
+    near.sort(axis=1)
+    near[:, 1:][near[:, 1:] == near[:, :-1]] = -1
+    return word, near
+
+
 def fuzzy_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key): all distinct keys of each fingerprint."""
-    options = []
-    for first, width in SEGMENTS:
-        word = (prints >> np.uint64(first)).astype(np.int64) & ((1 << width) - 1)
-        near = np.stack([decode(word), *(decode(word ^ (1 << i)) for i in range(width))], axis=1)
-        near.sort(axis=1)
-        again = np.zeros(near.shape, bool)
-        again[:, 1:] = near[:, 1:] == near[:, :-1]
-        options.append((near, ~again))
-    rows, keys = [], []
-    for n, (x, y) in enumerate(((0, 1), (0, 2), (1, 2))):
-        (a, fa), (b, fb) = options[x], options[y]
-        # distinct keys of a row to the front: six or fewer
-        ra, ca = np.nonzero(fa)
-        rb, cb = np.nonzero(fb)
-        nb = fb.sum(axis=1)
-        first = np.r_[0, np.cumsum(nb)[:-1]]
-        many = nb[ra]
-        row = np.repeat(ra, many)
-        step = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
-        at = first[row] + step
+    """(row, key): all keys of each fingerprint; the top bits of a key are its kind."""
+    segments = [_fuzzy(prints, *s) for s in SEGMENTS]
+    rows, keys, kind = [], [], 0
+
+    def add(row: np.ndarray, key: np.ndarray) -> None:
+        nonlocal kind
         rows.append(row)
-        keys.append((n << 24) | (np.repeat(a[ra, ca], many) << 12) | b[rb[at], cb[at]])
+        keys.append(kind << KIND | key)
+        kind += 1
+
+    for a, (exact, _) in enumerate(segments):
+        for b, (_, near) in enumerate(segments):
+            if a != b:
+                row, at = np.nonzero(near >= 0)
+                add(row, exact[row] << 12 | near[row, at])
+    (_, x), (_, y), (third, _) = segments
+    row, at = np.nonzero(x >= 0)
+    many = (y >= 0).sum(axis=1)
+    # the second segment's keys of the same row, for each of the first's
+    _, where = np.nonzero(y >= 0)
+    first = np.r_[0, np.cumsum(many)[:-1]]
+    each = np.repeat(row, many[row])
+    step = np.arange(len(each)) - np.repeat(np.cumsum(many[row]) - many[row], many[row])
+    both = np.repeat(x[row, at], many[row]) << 12 | y[each, where[first[each] + step]]
+    half = SEGMENTS[2][1] // 2
+    for part in (third & ((1 << half) - 1), third >> half):
+        add(each, both << 11 | part[each])
     return np.concatenate(rows), np.concatenate(keys)
 
 
@@ -146,7 +162,7 @@ def _keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             part = batch.iloc[at : at + 4000]
             prints = part["fp"].to_numpy(np.int64)
             rows, keys = fuzzy_keys(prints.view(np.uint64))
-            yield pd.DataFrame({"key": keys.astype(np.int32), "fp": prints[rows], "node": part["node"].to_numpy()[rows]})
+            yield pd.DataFrame({"key": keys, "fp": prints[rows], "node": part["node"].to_numpy()[rows]})
 
 
 def _differ(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -215,7 +231,7 @@ def links(nodes: DataFrame, bits: int = MAX_BITS) -> DataFrame:
     """
     if bits > MAX_BITS:
         raise ValueError("the segments guarantee links of at most three bits")
-    keyed = nodes.select("fp", "node").mapInPandas(_keyed, "key int, fp long, node long")
+    keyed = nodes.select("fp", "node").mapInPandas(_keyed, "key long, fp long, node long")
     return keyed.repartition("key").sortWithinPartitions("key").mapInPandas(_links(bits), "a long, b long").distinct()
 
 
