@@ -32,6 +32,9 @@ SECOND_RELATION = (
 )
 COLON_VALUE = r"[:：]\s*(.+?)(?:\s*-\s*)?$"
 
+#: how any of the labels begins; the relation labels are the longest common beginnings
+LABELLED = r"(?i)na[mnr]|father|husb|mother|oth[eo]r|fa[lt]h|fatn|hous|hovs|ag[eoa]|gend|gerd"
+
 FIELDS = ("name_english", "relation_name_english", "relation_type", "house_no", "age", "gender")
 
 
@@ -53,48 +56,63 @@ def _relation_value(line: Column) -> Column:
 
 
 def _step(state: Column, line: Column) -> Column:
-    """One line: name, relation, bare relation, name behind a bare relation, house, age with gender, age, gender."""
+    """One line: name, relation, bare relation, name behind a bare relation, house, age with gender, age, gender.
+
+    A line without the first letters of any label is left at once; each label is matched once a line.
+    """
     s = {f: state[f] for f in (*FIELDS, "found_name")}
 
     def changed(**new) -> Column:
         return F.struct(*[new.get(f, s[f]).alias(f) for f in s])
 
-    bare = T.strip(F.regexp_replace(line, "['s]+$", ""))
-    found = s["found_name"]
-    pair_age = _in_range(_get(AGE_GENDER, line))
-    return (
-        F.when(~found & line.rlike(NAME) & ~line.rlike(RELATION), changed(name_english=T.clean_name_plain(_get(NAME, line)), found_name=F.lit(True)))
-        .when(line.rlike(RELATION), changed(relation_type=T.relation_type(_get(RELATION, line)), relation_name_english=_relation_value(line)))
-        .when(found & (s["relation_type"] == "") & bare.rlike(BARE_RELATION), changed(relation_type=T.relation_type(_get(BARE_RELATION, bare))))
-        .when(found & (s["relation_name_english"] == "") & line.rlike(NAME_ONLY), changed(relation_name_english=T.clean_name_plain(_get(NAME_ONLY, line))))
-        .when(line.rlike(HOUSE), changed(house_no=T.clean_house_plain(T.house_value(_get(HOUSE, line)))))
-        .when(line.rlike(AGE_GENDER), changed(age=F.when(pair_age != "", pair_age).otherwise(s["age"]), gender=T.gender(_get(AGE_GENDER, line, 2))))
-        .otherwise(changed(
-            age=F.when(s["age"] == "", _in_range(_get(AGE, line))).otherwise(s["age"]),
-            gender=F.when(s["gender"] == "", T.gender(_get(GENDER, line))).otherwise(s["gender"]),
-        ))
-    )
+    def matched(m: Column) -> Column:
+        bare = T.strip(F.regexp_replace(line, "['s]+$", ""))
+        found, pair_age = s["found_name"], _in_range(m["pair_age"])
+        return (
+            F.when(~found & (m["name"] != "") & (m["relation"] == ""), changed(name_english=T.clean_name_plain(m["name"]), found_name=F.lit(True)))
+            .when(m["relation"] != "", changed(relation_type=T.relation_type(m["relation"]), relation_name_english=_relation_value(line)))
+            .when(found & (s["relation_type"] == "") & bare.rlike(BARE_RELATION), changed(relation_type=T.relation_type(_get(BARE_RELATION, bare))))
+            .when(found & (s["relation_name_english"] == "") & (m["name"] != "") & line.rlike(NAME_ONLY), changed(relation_name_english=T.clean_name_plain(_get(NAME_ONLY, line))))
+            .when(m["house"] != "", changed(house_no=T.clean_house_plain(T.house_value(m["house"]))))
+            .when(m["pair_age"] != "", changed(age=F.when(pair_age != "", pair_age).otherwise(s["age"]), gender=T.gender(_get(AGE_GENDER, line, 2))))
+            .otherwise(changed(
+                age=F.when(s["age"] == "", _in_range(_get(AGE, line))).otherwise(s["age"]),
+                gender=F.when(s["gender"] == "", T.gender(_get(GENDER, line))).otherwise(s["gender"]),
+            ))
+        )
+
+    labels = F.struct(
+        _get(NAME, line).alias("name"), _get(RELATION, line).alias("relation"), _get(HOUSE, line).alias("house"), _get(AGE_GENDER, line).alias("pair_age")
+    )
+    return F.when(line.rlike(LABELLED), T.let(labels, matched)).otherwise(state)
 
 
 def parse_first_language(text: Column) -> Column:
     """Serial, identifier and the six fields of a first-language cell, as a struct of strings; blank is missing."""
-    lines = T.without_artefacts(F.split(T.blank(text), "\n"))
+    return T.let(T.without_artefacts(F.split(T.blank(text), "\n")), _first_language)
+
+
+def _first_language(lines: Column) -> Column:
     empty = F.struct(*[F.lit("").alias(f) for f in FIELDS], F.lit(False).alias("found_name"))
-    scanned = F.aggregate(lines, empty, _step)
-    ids = F.transform(lines, T.id_in_text)
-    strict = _first(F.filter(ids, lambda x: x.rlike(T.VALID_ID)))
-    loose = _first(F.slice(ids, 1, 4))
     # the last resort for an age: a bare number on a line without the words of other fields
     others = F.filter(lines, lambda x: ~F.lower(x).rlike("name|house|father|husband|mother"))
     numbers = F.flatten(F.transform(others, lambda x: F.regexp_extract_all(x, F.lit(BARE_AGE), F.lit(1))))
     bare_age = _first(F.filter(numbers, lambda x: x.cast("int").between(18, 120)))
-    return F.struct(
-        _first(F.transform(F.slice(lines, 1, 2), lambda x: _get(SERIAL, x))).alias("serial_no"),
-        F.when(strict != "", strict).otherwise(loose).alias("epic_id"),
-        *[scanned[f].alias(f) for f in FIELDS if f not in ("age", "gender")],
-        F.when(scanned["age"] != "", scanned["age"]).otherwise(bare_age).alias("age"),
-        scanned["gender"].alias("gender"),
-    )
+
+    def identifier(ids: Column) -> Column:
+        strict = F.get(F.filter(ids, lambda x: x.rlike(T.VALID_ID)), F.lit(0))
+        return F.coalesce(strict, _first(F.slice(ids, 1, 4)))
+
+    def record(scanned: Column) -> Column:
+        return F.struct(
+            _first(F.transform(F.slice(lines, 1, 2), lambda x: _get(SERIAL, x))).alias("serial_no"),
+            T.let(F.transform(lines, T.id_in_text), identifier).alias("epic_id"),
+            *[scanned[f].alias(f) for f in FIELDS if f not in ("age", "gender")],
+            F.when(scanned["age"] != "", scanned["age"]).otherwise(bare_age).alias("age"),
+            scanned["gender"].alias("gender"),
+        )
+
+    return T.let(F.aggregate(lines, empty, _step), record)
 
 
 def _second_step(state: Column, line: Column) -> Column:
@@ -111,24 +129,31 @@ def _second_step(state: Column, line: Column) -> Column:
 
 def parse_second_language(text: Column) -> Column:
     """Serial, name and relation name of a second-language cell, as a struct of strings; blank is missing."""
-    lines = F.filter(F.transform(F.split(T.blank(text), "\n"), T.strip), lambda x: x != "")
-    scanned = F.aggregate(lines, F.struct(F.lit("").alias("name"), F.lit("").alias("relation")), _second_step)
-    name, relation = scanned["name"], scanned["relation"]
+    return T.let(F.filter(F.transform(F.split(T.blank(text), "\n"), T.strip), lambda x: x != ""), _second_language)
+
+
+def _second_language(lines: Column) -> Column:
     data = lambda x: ~F.lower(x).rlike("available|photo")
-    valid = lambda v: F.when(T.is_second_script_name(v), v).otherwise("")
-    # a relation whose label is garbled: a labelled or colon value on a line after the name's
-    at = F.coalesce(F.get(F.filter(
-        F.transform(lines, lambda x, i: F.when(x.contains(name) | x.rlike(SECOND_NAME), i)), lambda i: i.isNotNull()), F.lit(0)), F.size(lines))
-    after = F.filter(F.slice(lines, at + 2, F.greatest(F.size(lines), F.lit(1))), lambda x: data(x) & ~x.rlike(T.LABEL_NOISE))
-    garbled = F.flatten(F.transform(after, lambda x: F.array(
-        valid(T.clean_second_script(_get(r"பெயர்\s*[:.\-]?\s*(.+?)(?:\s*-\s*)?$", x))), valid(T.clean_second_script(_get(COLON_VALUE, x))))))
-    relation = F.when((name != "") & (relation == ""), _first(garbled)).otherwise(relation)
-    # no name at all: colon values by place, first the name, then the relation
-    rest = F.filter(F.slice(lines, 2, F.greatest(F.size(lines), F.lit(1))), lambda x: data(x) & ~x.isin(*T.GENDER_LABELS, *T.NOISE_WORDS))
-    values = F.filter(F.transform(rest, lambda x: valid(T.clean_second_script(_get(COLON_VALUE, x)))), lambda v: v != "")
-    placed = lambda i: F.coalesce(F.get(values, F.lit(i)), F.lit(""))
-    return F.struct(
-        F.coalesce(_get(SERIAL, F.get(lines, F.lit(0))), F.lit("")).alias("serial_no"),
-        F.when(name != "", name).otherwise(placed(0)).alias("name_tamil"),
-        F.when(relation != "", relation).when(name == "", placed(1)).otherwise("").alias("relation_name_tamil"),
-    )
+    valid = lambda v: T.let(v, lambda u: F.when(T.is_second_script_name(u), u).otherwise(""))
+    labelled = r"பெயர்\s*[:.\-]?\s*(.+?)(?:\s*-\s*)?$"
+
+    def record(scanned: Column) -> Column:
+        name, relation = scanned["name"], scanned["relation"]
+        # a relation whose label is garbled: a labelled or colon value on a line after the name's
+        at = F.coalesce(
+            F.get(F.filter(F.transform(lines, lambda x, i: F.when(x.contains(name) | x.rlike(SECOND_NAME), i)), lambda i: i.isNotNull()), F.lit(0)),
+            F.size(lines),
+        )
+        after = F.filter(F.slice(lines, at + 2, F.greatest(F.size(lines), F.lit(1))), lambda x: data(x) & ~x.rlike(T.LABEL_NOISE))
+        garbled = F.flatten(F.transform(after, lambda x: F.array(*[valid(T.clean_second_script(_get(p, x))) for p in (labelled, COLON_VALUE)])))
+        # no name at all: colon values by place, first the name, then the relation
+        rest = F.filter(F.slice(lines, 2, F.greatest(F.size(lines), F.lit(1))), lambda x: data(x) & ~x.isin(*T.GENDER_LABELS, *T.NOISE_WORDS))
+        values = F.filter(F.transform(rest, lambda x: valid(T.clean_second_script(_get(COLON_VALUE, x)))), lambda v: v != "")
+        placed = lambda i: F.coalesce(F.get(values, F.lit(i)), F.lit(""))
+        return F.struct(
+            F.coalesce(_get(SERIAL, F.get(lines, F.lit(0))), F.lit("")).alias("serial_no"),
+            F.when(name != "", name).otherwise(placed(0)).alias("name_tamil"),
+            F.when(relation != "", relation).when(name != "", _first(garbled)).otherwise(placed(1)).alias("relation_name_tamil"),
+        )
+
+    return T.let(F.aggregate(lines, F.struct(F.lit("").alias("name"), F.lit("").alias("relation")), _second_step), record)

@@ -42,6 +42,11 @@ def blank(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with value computed once a row, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Unicode white space off both ends; trim() takes spaces only."""
     return F.regexp_replace(F.regexp_replace(blank(c), r"(?U)^\s+", ""), r"(?U)\s+$", "")
