@@ -57,7 +57,7 @@ SECOND = frozenset("you your yours youre u ur du dich dir dein deine tu te toi t
 
 def errors_allowed(term: str, stem: bool) -> int:
     if stem:
-        return 1 if len(term) >= 6 else 0
+        return 1 if len(term) >= 8 else 0
     return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
 
 
@@ -285,7 +285,8 @@ def learn_terms(toxic: list[tuple[list[int], set]], others: dict, n_others: int)
 def _fit(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
     """Ridge logistic regression by Newton's method; the two slopes are never negative.
 
-    Where the sample has no toxic text with misspelled terms, they weigh a little less than exact ones.
+    Where the sample has no toxic text with misspelled terms, their slope is that of exact ones; their
+    matches weigh less already.
     """
     a = np.column_stack([np.ones(len(x)), _soft(x)])
     w, use = np.zeros(3), [0, 1, 2]
@@ -303,7 +304,7 @@ def _fit(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
         use = [k for k in use if k == 0 or w[k] > 0]
         w[[k for k in range(3) if k not in use]] = 0
     if not (x[y == 1, 1] > 0).any():
-        w[2] = 0.8 * w[1]
+        w[2] = w[1]
     return float(w[0]), float(w[1]), float(w[2])
 
 
