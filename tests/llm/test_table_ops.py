@@ -5,7 +5,6 @@ import random
 
 import duckdb
 import pytest
-from pyspark.sql import functions as F
 
 from formspark.llm import chat, mixing, queries, url_filter
 
@@ -193,4 +192,4 @@ def test_names_and_registry():
 
     names = [n for n in __spark_entry__.queries() if n.startswith("op")]
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
-    assert F is not None and "pipeline" in __spark_entry__.queries()
+    assert "pipeline" in __spark_entry__.queries()
