@@ -43,10 +43,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages that an earlier document has; documents of which nothing is left go."""
-    cut = suffix_dedup(docs, keep=COLUMNS)
-    out = cut.withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text")))
+    # the text travels once, as what is kept of it
+    named = docs.withColumn("_no_text", F.col("text").isNull())
+    cut = suffix_dedup(named, keep=["doc_id", "lang", "source", "n_chars", "_no_text"])
+    out = cut.withColumn("text", F.when(~F.col("_no_text"), F.col("kept_text")))
     out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.where((F.col("n_removed") == 0) | (F.trim("text") != "")).select(*COLUMNS)
+    return out.where((F.col("n_removed") == 0) | (F.trim(F.col("text")) != "")).select(*COLUMNS)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
