@@ -46,6 +46,8 @@ BLOCK = 1_000_000
 #: anchors that a batch gathers before it sends them on
 GATHER = 700_000
 GATHER_CONTEXTS = 150_000
+#: rows whose results are made at a time
+ROWS = 1_000
 #: range buckets for each shuffle partition; a task holds one bucket at a time
 BUCKETS = 4
 #: texts with more copies than this share of all documents (one in so many), and over 1000, are broadcast
@@ -431,26 +433,29 @@ _RESULT = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed",
 
 def _results(keep_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column("id")
-            first = batch.column("first").to_pylist()
-            out = []
-            for d, text in enumerate(batch.column("text").cast(pa.binary()).to_pylist()):
-                n, marks = len(text), batch.column("marks")[d]
-                if n >= LENGTH and first[d] < ids[d].as_py():  # a copy of a whole earlier text
-                    gone, spans, kept, chars = n, 1, b"", b""
-                elif marks.is_valid:
-                    b = np.frombuffer(text, np.uint8)
-                    cover = _covered(n, marks.values.to_numpy())
-                    gone, spans = int(cover.sum()), int(cover[0]) + int((cover[1:] & ~cover[:-1]).sum())
-                    kept = b[~cover].tobytes()
-                    chars = b[~whole_characters(b, cover)].tobytes() if keep_text else b""
-                else:
-                    gone, spans, kept, chars = 0, 0, text, text
-                out.append((ids[d].as_py(), n, gone, spans, hashlib.sha256(kept).hexdigest(), chars.decode("utf-8", "replace") if keep_text else None))
-            if out:
-                columns = [pa.array(c, f.type) for c, f in zip(zip(*out), _RESULT)]
-                yield pa.RecordBatch.from_arrays([*columns, batch.column("row")], names=[*_RESULT.names, "row"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                yield from results(whole.slice(at, ROWS))
+
+    def results(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        ids = batch.column("id")
+        first = batch.column("first").to_pylist()
+        out = []
+        for d, text in enumerate(batch.column("text").cast(pa.binary()).to_pylist()):
+            n, marks = len(text), batch.column("marks")[d]
+            if n >= LENGTH and first[d] < ids[d].as_py():  # a copy of a whole earlier text
+                gone, spans, kept, chars = n, 1, b"", b""
+            elif marks.is_valid:
+                b = np.frombuffer(text, np.uint8)
+                cover = _covered(n, marks.values.to_numpy())
+                gone, spans = int(cover.sum()), int(cover[0]) + int((cover[1:] & ~cover[:-1]).sum())
+                kept = b[~cover].tobytes()
+                chars = b[~whole_characters(b, cover)].tobytes() if keep_text else b""
+            else:
+                gone, spans, kept, chars = 0, 0, text, text
+            out.append((ids[d].as_py(), n, gone, spans, hashlib.sha256(kept).hexdigest(), chars.decode("utf-8", "replace") if keep_text else None))
+        columns = [pa.array(c, f.type) for c, f in zip(zip(*out), _RESULT)]
+        yield pa.RecordBatch.from_arrays([*columns, batch.column("row")], names=[*_RESULT.names, "row"])
 
     return run
 

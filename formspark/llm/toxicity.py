@@ -46,7 +46,7 @@ STRONG = 60.0
 WINDOW = 6
 QUOTED, ADDRESSED = 0.35, 1.5
 #: distinct words whose matches a Python worker keeps; a full table is dropped and begun again
-CACHE = 1_000_000
+CACHE = 250_000
 
 WORD = re.compile(r"[^\W_]+")
 LEET = str.maketrans("013457", "oieast")
