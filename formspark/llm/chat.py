@@ -56,7 +56,7 @@ def _keys(messages: DataFrame) -> DataFrame:
 
 def _passages(messages: DataFrame) -> DataFrame:
     """Quoted passages: message, number, level, lines and normalised text of each."""
-    quoting = messages.where(F.col("_text").rlike(r"(?m)^\s*>"))
+    quoting = messages.where(F.col("_text").rlike(r"(?m)^\s*>")).dropDuplicates(["_row"])
     lines = quoting.select("_row", "_conv", "_turn", F.posexplode(_lines(F.col("_text"))).alias("_pos", "_line")).withColumn("_level", _level(F.col("_line")))
     by = Window.partitionBy("_row").orderBy("_pos")
     runs = lines.withColumn("_new", (F.coalesce(F.lag("_level").over(by), F.lit(-1)) != F.col("_level")).cast("int"))
@@ -110,14 +110,16 @@ def link_quotations(conversations: DataFrame, conv_col: str = "conv_id", turn_co
     smallest of theirs.  Other columns are not read.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
+    # a row is named by its values, which every evaluation of the input gives alike; repeated rows share a name
+    row = F.sha2(F.to_json(F.struct(F.col(conv_col).alias("c"), F.col(turn_col).alias("t"), F.col(role_col).alias("r"), F.col(text_col).alias("x"))), 256)
     messages = conversations.select(
-        F.monotonically_increasing_id().alias("_row"), F.col(conv_col).alias("_conv"), F.col(turn_col).cast("long").alias("_turn"),
+        row.alias("_row"), F.col(conv_col).alias("_conv"), F.col(turn_col).cast("long").alias("_turn"),
         F.coalesce(F.col(role_col), F.lit("unknown")).alias("_role"), text.alias("_text"),
     ).withColumn("_own", unquoted(F.col("_text")))
     links = checkpointed(quotation_links(messages))
     rows = messages.join(links, "_row", "left")
     # only replies: the rest are roots themselves
-    replies = messages.select("_row", "_conv", "_turn").join(links.where("parent_turn is not null"), "_row")
+    replies = messages.select("_row", "_conv", "_turn").dropDuplicates(["_row"]).join(links.where("parent_turn is not null"), "_row")
     roots = _roots(replies.groupBy("_conv", "_turn").agg(F.min("parent_turn").alias("_parent")))
     named = roots.select(F.col("_conv").alias("c"), F.col("_turn").alias("t"), "_root", "_depth")
     out = rows.join(named, (F.col("_conv") == F.col("c")) & (F.col("_turn") == F.col("t")), "left")
