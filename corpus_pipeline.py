@@ -10,13 +10,14 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from formspark.llm.common import checkpointed, table
 from formspark.llm.decontaminate import contaminated
+from formspark.llm.graph import components
 from formspark.llm.mixing import fit_rates, memberships
-from formspark.llm.simhash import simhash_components
+from formspark.llm.simhash import fingerprint, links
 from formspark.llm.suffix_dedup import suffix_dedup
 from formspark.llm.toxicity import fit, score_texts
 
@@ -31,14 +32,26 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return score_texts(docs, model, COLUMNS).where("predicted = 0").select(*COLUMNS)
 
 
+def row_key() -> Column:
+    """Key of a row: its id and text, nulls included; only true repeats share one."""
+    return F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), F.coalesce(F.sha2("text", 256), F.lit("")))
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash component: that of the smallest id, once if it is repeated.
 
-    Documents without words all have the fingerprint zero and are one component.
+    Null ids come last; of rows with that id that differ in text one stays.  Documents without words
+    all have the fingerprint zero and are one component.
     """
-    kept = simhash_components(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = kept.withColumnRenamed("doc_id", "_kept")
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    keyed = docs.withColumn("_key", row_key())
+    prints = checkpointed(keyed.select("doc_id", "_key", fingerprint(F.col("text")).alias("fp")))
+    row = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("_key").alias("k"))
+    # the fingerprint is the node, so that rows need no id to be linked
+    least = prints.groupBy("fp").agg(F.min(row).alias("row"))
+    found = components(links(least.select("fp", F.col("fp").alias("node"))))
+    named = least.join(found, least["fp"] == found["node"], "left").select(F.coalesce("component", "fp").alias("component"), "row")
+    kept = named.groupBy("component").agg(F.min("row").alias("row")).select(F.col("row.k").alias("_key"))
+    return keyed.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select(*COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,15 +66,17 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
-    leaks = contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(leaks, F.col("doc_id").eqNullSafe(F.col("_leak")), "left_anti").select(*COLUMNS)
+    keyed = docs.withColumn("_key", row_key())
+    leaks = contaminated(keyed, table(spark, sf_dir, "benchmark"), id_col="_key").select("_key").distinct()
+    return keyed.join(leaks, "_key", "left_anti").select(*COLUMNS)
 
 
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with tokens, domain memberships and the rate at which to take them."""
-    members = memberships(docs, table(spark, sf_dir, "labels"))
-    rated = fit_rates(checkpointed(members.select("doc_id", "tokens", "p_low", "p_toxic", "p_good")))
-    return docs.join(rated.dropDuplicates(["doc_id"]), "doc_id", "left")
+    keyed = docs.withColumn("_key", row_key())
+    members = memberships(keyed, table(spark, sf_dir, "labels"))
+    rated = fit_rates(checkpointed(members.select("_key", "tokens", "p_low", "p_toxic", "p_good")))
+    return keyed.join(rated.dropDuplicates(["_key"]), "_key", "left").drop("_key")
 
 
 STAGES = [

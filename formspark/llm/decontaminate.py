@@ -277,20 +277,22 @@ def contaminated(
 
     The passage is the one with the fewest edits, then the first; byte places refer to the
     lower-cased text.  Null and empty texts and items without words match nothing.  Repeated rows of
-    docs or of benchmark give repeated results; other columns are not read.
+    docs or of benchmark give repeated results; other columns are not read.  Ids are long, or strings
+    where the column is of strings.
     """
-    schema = f"`{id_col}` long, `{item_col}` long, edits int, similarity double, first_byte long, end_byte long"
-    source = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_t")).where(F.col("_t") != "")
+    kind = "string" if docs.schema[id_col].dataType.typeName() == "string" else "long"
+    schema = f"`{id_col}` {kind}, `{item_col}` long, edits int, similarity double, first_byte long, end_byte long"
+    source = docs.select(F.col(id_col).cast(kind).alias("_id"), F.col(text_col).alias("_t")).where(F.col("_t") != "")
     out = None
     for block in _blocks(benchmark, item_col, item_text_col):
         # bounded by ITEMS, so it may go to every executor
         shared = docs.sparkSession.sparkContext.broadcast(block)
-        found = source.mapInPandas(_searching(shared, [id_col, item_col]), schema)
+        found = source.mapInPandas(_searching(shared, [id_col, item_col], kind), schema)
         out = found if out is None else out.unionAll(found)
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
 
-def _searching(shared, names: list[str]):
+def _searching(shared, names: list[str], kind: str):
     name = uuid.uuid4().hex
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -306,6 +308,6 @@ def _searching(shared, names: list[str]):
             ]
             if rows:
                 out = pd.DataFrame(rows, columns=[*names, "edits", "similarity", "first_byte", "end_byte"])
-                yield out.astype({names[0]: "Int64", names[1]: "Int64"})
+                yield out.astype({names[1]: "Int64"} | ({names[0]: "Int64"} if kind == "long" else {}))
 
     return run

@@ -187,6 +187,32 @@ def test_pipeline_stages_take_odd_rows(spark, odd_docs, no_docs, corpus):
             assert k == 4 or out.columns == corpus_pipeline.COLUMNS
 
 
+def test_pipeline_rows_with_null_or_shared_ids(spark, prose, tmp_path):
+    """Distinct clean texts survive whatever their ids; true repeats, near copies and leaks go one by one."""
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    texts = [prose(rng, 120) for _ in range(16)]
+    leaks = [prose(rng, 30) for _ in range(2)]
+    ids = [None] * 5 + [7] * 5 + [*range(20, 26)]
+    rows = list(zip(ids, texts))
+    rows += [(None, texts[0]), (7, texts[5]), (None, texts[10]), (30, texts[11])]  # repeats, and copies of 20 and 21
+    rows += [(None, texts[0] + " " + leaks[0] + " " + texts[1]), (7, texts[5] + " " + leaks[1] + " " + texts[6])]
+    base = str(tmp_path)
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    docs.write.parquet(f"{base}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(20, 26)], "doc_id long, quality int, toxic int").write.parquet(f"{base}/labels.parquet")
+    spark.createDataFrame(list(enumerate(leaks)), "item_id long, text string").write.parquet(f"{base}/benchmark.parquet")
+    named = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=repr)
+    clean, leaky = sorted(zip(ids, texts), key=repr), rows[-2:]
+    assert named(corpus_pipeline.drop_near_copies(spark, docs, base)) == sorted(clean + leaky, key=repr)
+    assert named(corpus_pipeline.drop_benchmark_leaks(spark, docs, base)) == sorted(rows[:-2], key=repr)
+    mixed = corpus_pipeline.mix_domains(spark, docs, base).collect()
+    assert len(mixed) == len(rows) and all(r.tokens >= 100 and r.rate is not None and abs(r.p_low + r.p_toxic + r.p_good - 1) < 1e-9 for r in mixed)
+    out = corpus_pipeline.run(spark, base).collect()
+    assert sorted((r.doc_id for r in out), key=repr) == sorted(ids, key=repr) and all(r.rate is not None for r in out)
+
+
 def test_names_and_registry():
     import __spark_entry__
 
