@@ -217,6 +217,21 @@ def test_decontamination(spark, leaks):
         assert edit(split(dict(items)[r.item_id]), passage) == r.edits
 
 
+@pytest.mark.parametrize("m", [60, 120, 200])
+@pytest.mark.parametrize("kind", ["deletions", "insertions", "replacements"])
+def test_recall_at_the_largest_distance(m, kind):
+    rng = random.Random(m)
+    new = lambda n: [f"w{rng.getrandbits(48)}" for _ in range(n)]
+    items, texts = [new(m) for _ in range(200)], []
+    for item in items:
+        passage = list(item)
+        for j in sorted(rng.sample(range(1, m - 1), dec.allowed(m)), reverse=True):
+            passage[j : j + (kind != "insertions")] = [] if kind == "deletions" else new(1)
+        texts.append(" ".join(new(m) + passage + new(m)))
+    found = {(d, i) for d, i, *_ in dec.Items(list(enumerate(map(" ".join, items)))).search(texts)}
+    assert sum((i, i) in found for i in range(200)) >= 0.99 * 200
+
+
 def test_words_across_blocks(monkeypatch, prose):
     from formspark.llm import words as w
 
