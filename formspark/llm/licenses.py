@@ -76,7 +76,7 @@ bsl-1.0 | boost software licen[cs]e(?: version| v\.?)?(?: 1\.0)? | bsl-1\.0 | bo
 busl-1.1 | business source licen[cs]e(?: version| v\.?)?(?: 1\.1)? | busl-1\.1 | mariadb\.com/bsl11 | business source
 sspl-1.0 | server side public licen[cs]e(?: version| v\.?)?(?: 1)? | sspl-1\.0 | mongodb\.com/licensing/server-side-public-license | server side
 elastic-2.0 | elastic licen[cs]e(?: version| v\.?)?(?: 2(?:\.0)?)? | elastic-2\.0 | elastic\.co/licensing/elastic-license | elastic
-eupl-1.2 | european union public licen[cs]e(?: version| v\.?)? 1\.2|eupl ?v?1\.2 | eupl-1\.2 | joinup\.ec\.europa\.eu/[^ ]*eupl | european union,eupl
+eupl-1.2 | european union public licen[cs]e(?: version| v\.?)? 1\.2|eupl ?v?1\.2 | eupl-1\.2 | joinup\.ec\.europa\.eu/[^\s]*eupl | european union,eupl
 eupl-1.1 | european union public licen[cs]e(?: version| v\.?)? 1\.1|eupl ?v?1\.1 | eupl-1\.1 | ec\.europa\.eu/idabc/eupl | european union,eupl
 cecill-2.1 | cecill(?: free software)?(?: licen[cs]e)?(?: agreement)?(?: version| v\.?)? 2\.1 | cecill-2\.1 | cecill\.info/licences/licence_cecill_v2\.1 | cecill
 cecill-b | cecill b(?: licen[cs]e)? | cecill-b | cecill\.info/licences/licence_cecill-b | cecill
@@ -84,18 +84,18 @@ cecill-c | cecill c(?: licen[cs]e)? | cecill-c | cecill\.info/licences/licence_c
 unlicense | (?:the )?unlicense | unlicense | unlicense\.org | unlicense
 wtfpl | do what the fuck you want to public licen[cs]e|wtfpl | wtfpl | wtfpl\.net | what the,wtfpl
 cc0-1.0 | cc0(?: 1\.0)?(?: universal)?|creative commons zero(?: v1\.0)? | cc0-1\.0 | creativecommons\.org/publicdomain/zero/1\.0 | cc0,commons zero
-cc-by-4.0 | (?:cc|creative commons)(?: by| attribution)(?: international)? 4\.0 | cc-by-4\.0 | creativecommons\.org/licenses/by/4\.0 | cc by,commons
-cc-by-3.0 | (?:cc|creative commons)(?: by| attribution)(?: unported)? 3\.0 | cc-by-3\.0 | creativecommons\.org/licenses/by/3\.0 | cc by,commons
-cc-by-2.0 | (?:cc|creative commons)(?: by| attribution)(?: generic)? 2\.0 | cc-by-2\.0 | creativecommons\.org/licenses/by/2\.0 | cc by,commons
-cc-by-sa-4.0 | (?:cc|creative commons)(?: by sa| attribution share ?alike)(?: international)? 4\.0 | cc-by-sa-4\.0 | creativecommons\.org/licenses/by-sa/4\.0 | cc by,commons
-cc-by-sa-3.0 | (?:cc|creative commons)(?: by sa| attribution share ?alike)(?: unported)? 3\.0 | cc-by-sa-3\.0 | creativecommons\.org/licenses/by-sa/3\.0 | cc by,commons
-cc-by-nc-4.0 | (?:cc|creative commons)(?: by nc| attribution non ?commercial)(?: international)? 4\.0 | cc-by-nc-4\.0 | creativecommons\.org/licenses/by-nc/4\.0 | cc by,commons
-cc-by-nc-3.0 | (?:cc|creative commons)(?: by nc| attribution non ?commercial)(?: unported)? 3\.0 | cc-by-nc-3\.0 | creativecommons\.org/licenses/by-nc/3\.0 | cc by,commons
-cc-by-nd-4.0 | (?:cc|creative commons)(?: by nd| attribution no ?deriv(?:ative)?s)(?: international)? 4\.0 | cc-by-nd-4\.0 | creativecommons\.org/licenses/by-nd/4\.0 | cc by,commons
-cc-by-nc-sa-4.0 | (?:cc|creative commons)(?: by nc sa| attribution non ?commercial share ?alike)(?: international)? 4\.0 | cc-by-nc-sa-4\.0 | creativecommons\.org/licenses/by-nc-sa/4\.0 | cc by,commons
-cc-by-nc-sa-3.0 | (?:cc|creative commons)(?: by nc sa| attribution non ?commercial share ?alike)(?: unported)? 3\.0 | cc-by-nc-sa-3\.0 | creativecommons\.org/licenses/by-nc-sa/3\.0 | cc by,commons
-cc-by-nc-nd-4.0 | (?:cc|creative commons)(?: by nc nd| attribution non ?commercial no ?deriv(?:ative)?s)(?: international)? 4\.0 | cc-by-nc-nd-4\.0 | creativecommons\.org/licenses/by-nc-nd/4\.0 | cc by,commons
-cc-by-nc-nd-3.0 | (?:cc|creative commons)(?: by nc nd| attribution non ?commercial no ?deriv(?:ative)?s)(?: unported)? 3\.0 | cc-by-nc-nd-3\.0 | creativecommons\.org/licenses/by-nc-nd/3\.0 | cc by,commons
+cc-by-4.0 | (?:cc|creative commons)(?: by| attribution)(?: international)? 4\.0 | cc-by-4\.0 | creativecommons\.org/licenses/by/4\.0 | cc by,cc attribution,commons
+cc-by-3.0 | (?:cc|creative commons)(?: by| attribution)(?: unported)? 3\.0 | cc-by-3\.0 | creativecommons\.org/licenses/by/3\.0 | cc by,cc attribution,commons
+cc-by-2.0 | (?:cc|creative commons)(?: by| attribution)(?: generic)? 2\.0 | cc-by-2\.0 | creativecommons\.org/licenses/by/2\.0 | cc by,cc attribution,commons
+cc-by-sa-4.0 | (?:cc|creative commons)(?: by sa| attribution share ?alike)(?: international)? 4\.0 | cc-by-sa-4\.0 | creativecommons\.org/licenses/by-sa/4\.0 | cc by,cc attribution,commons
+cc-by-sa-3.0 | (?:cc|creative commons)(?: by sa| attribution share ?alike)(?: unported)? 3\.0 | cc-by-sa-3\.0 | creativecommons\.org/licenses/by-sa/3\.0 | cc by,cc attribution,commons
+cc-by-nc-4.0 | (?:cc|creative commons)(?: by nc| attribution non ?commercial)(?: international)? 4\.0 | cc-by-nc-4\.0 | creativecommons\.org/licenses/by-nc/4\.0 | cc by,cc attribution,commons
+cc-by-nc-3.0 | (?:cc|creative commons)(?: by nc| attribution non ?commercial)(?: unported)? 3\.0 | cc-by-nc-3\.0 | creativecommons\.org/licenses/by-nc/3\.0 | cc by,cc attribution,commons
+cc-by-nd-4.0 | (?:cc|creative commons)(?: by nd| attribution no ?deriv(?:ative)?s)(?: international)? 4\.0 | cc-by-nd-4\.0 | creativecommons\.org/licenses/by-nd/4\.0 | cc by,cc attribution,commons
+cc-by-nc-sa-4.0 | (?:cc|creative commons)(?: by nc sa| attribution non ?commercial share ?alike)(?: international)? 4\.0 | cc-by-nc-sa-4\.0 | creativecommons\.org/licenses/by-nc-sa/4\.0 | cc by,cc attribution,commons
+cc-by-nc-sa-3.0 | (?:cc|creative commons)(?: by nc sa| attribution non ?commercial share ?alike)(?: unported)? 3\.0 | cc-by-nc-sa-3\.0 | creativecommons\.org/licenses/by-nc-sa/3\.0 | cc by,cc attribution,commons
+cc-by-nc-nd-4.0 | (?:cc|creative commons)(?: by nc nd| attribution non ?commercial no ?deriv(?:ative)?s)(?: international)? 4\.0 | cc-by-nc-nd-4\.0 | creativecommons\.org/licenses/by-nc-nd/4\.0 | cc by,cc attribution,commons
+cc-by-nc-nd-3.0 | (?:cc|creative commons)(?: by nc nd| attribution non ?commercial no ?deriv(?:ative)?s)(?: unported)? 3\.0 | cc-by-nc-nd-3\.0 | creativecommons\.org/licenses/by-nc-nd/3\.0 | cc by,cc attribution,commons
 odbl-1.0 | open (?:data commons open )?database licen[cs]e(?: v?1\.0)?|odbl | odbl-1\.0 | opendatacommons\.org/licenses/odbl | database,odbl
 odc-by-1.0 | open data commons attribution(?: licen[cs]e)?(?: v?1\.0)? | odc-by-1\.0 | opendatacommons\.org/licenses/by | open data
 pddl-1.0 | public domain dedication and licen[cs]e | pddl-1\.0 | opendatacommons\.org/licenses/pddl | domain dedication
@@ -142,7 +142,7 @@ proprietary | 4 | 0.8 | proprietary | proprietary(?: and confidential)?(?: licen
 proprietary | 4 | 0.8 | internal use | for internal use only
 proprietary | 4 | 0.8 | written permission | without (?:the )?(?:prior |express )*written permission
 non-commercial | 4 | 0.7 | commercial | (?:for )?non ?commercial use only
-research-only | 4 | 0.7 | research | (?:for )?(?:academic|research)(?: and (?:academic|research))? (?:use|purposes) only
+research-only | 4 | 0.7 | research,academic | (?:for )?(?:academic|research)(?: and (?:academic|research))? (?:use|purposes) only
 copyright-notice | 1 | 0.3 | copyright | copyright (?:\(c\) |\xc2\xa9 )?(?:1[89]|20)[0-9][0-9]
 dual | 3 | 0.6 | dual | dual licen[cs]ed(?: under)?
 unknown-license | 1 | 0.3 | licen | (?:licen[cs]ed|released|distributed|available) under (?:the )?(?:terms of )?(?:the |an? )?[0-9a-z.\-]+(?: [0-9a-z.\-]+){0,3} licen[cs]e
@@ -186,6 +186,11 @@ def _needs_stem(name: str) -> bool:
     return all("licen" in re.sub(r"\([^()]*\)", "", x) for x in parts)
 
 
+def _flat(text: bytes) -> bytes:
+    """The form in which keywords are sought: a run of spaces, commas and hyphens is one space."""
+    return re.sub(rb"[\s,\-]+", b" ", text)
+
+
 @lru_cache(maxsize=1)
 def rules() -> tuple[Rule, ...]:
     """All rules in order of priority."""
@@ -198,7 +203,7 @@ def rules() -> tuple[Rule, ...]:
         out += [
             Rule(label, 8 + own, 0.98, (b"spdx",), True, _compiled(rf"spdx license identifier:? ?(?:{ids})")),
             Rule(label, 6 + own, 0.95, words, stem, _compiled(GRANT % name)),
-            Rule(label, 6 + own, 0.9, (address.split("/")[0].replace("\\", "").encode(),), False, _compiled(rf"(?:https?://|www\.)+{address}(?:[./\-][^\s]*)?")),
+            Rule(label, 6 + own, 0.9, (_flat(address.split("/")[0].replace("\\", "").encode()),), False, _compiled(rf"(?:https?://|www\.)+{address}(?:[./\-][^\s]*)?")),
             Rule(label, 4 + own, 0.7, words, stem, _compiled(name)),
         ]
     for line in SINGLE.strip().splitlines():
@@ -222,7 +227,7 @@ def detections(text: bytes) -> list[tuple[int, int, Rule]]:
     """Detections that stand, as (start, end, rule) in a lower-cased text, in order of priority."""
     if not any(k in text for k in gate()):
         return []
-    flat = re.sub(rb"[\s,\-]+", b" ", text)
+    flat = _flat(text)
     stem, found = b"licen" in flat, []
     for rule in rules():
         if (stem or not rule.stem) and any(k in flat for k in rule.keywords):

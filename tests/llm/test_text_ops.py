@@ -193,6 +193,49 @@ def test_license_rules(text, label):
     assert label in lic.scan(text.lower().encode())["labels"].split(",")
 
 
+def shortest(parsed) -> list[str]:
+    """Texts that a parsed regex matches: of every alternative the first characters, of repeats the fewest."""
+    out = [""]
+    for op, arg in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            more = [chr(arg)]
+        elif name == "IN":
+            # a class of separators gives the space, any other its first character
+            first = [chr(a if str(o) == "LITERAL" else a[0]) for o, a in arg if str(o) in ("LITERAL", "RANGE")]
+            more = [" " if any(str(o) == "CATEGORY" and "SPACE" in str(a) and "NOT" not in str(a) for o, a in arg) else (first or ["x"])[0]]
+        elif name == "BRANCH":
+            more = [t for p in arg[1] for t in shortest(p)]
+        elif name == "SUBPATTERN":
+            more = shortest(arg[3])
+        elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+            more = [t * arg[0] for t in shortest(arg[2])] if arg[0] else [""]
+        elif name in ("ANY", "NOT_LITERAL"):
+            more = ["x"]
+        else:
+            more = [""]
+        out = [a + b for a in out for b in dict.fromkeys(more)]
+    return out
+
+
+def test_every_license_rule_fires(monkeypatch):
+    from re import _parser
+
+    lic.gate()  # of all rules
+    for rule in lic.rules():
+        texts = [t.encode("latin-1") for t in shortest(_parser.parse(rule.regex.pattern.decode("latin-1")))]
+        texts = [t for t in texts if rule.regex.search(t)]
+        assert texts, rule
+        monkeypatch.setattr(lic, "rules", lambda rule=rule: (rule,))
+        assert all(lic.detections(t) for t in texts), (rule, [t for t in texts if not lic.detections(t)])
+        monkeypatch.undo()
+
+
+def test_license_hosts_with_a_hyphen():
+    assert lic.scan(b"https://www.ruby-lang.org/en/about/license")["labels"] == "ruby"
+    assert lic.scan(b"see https://www.latex-project.org/lppl")["score"] >= 0.9
+
+
 def test_license_suppression():
     kept = lic.detections(b"licensed under the gnu general public license, version 3.")
     assert [r.label for _, _, r in kept] == ["gpl-3.0"]
