@@ -63,23 +63,25 @@ def errors_allowed(term: str, stem: bool) -> int:
 
 @dataclass
 class Trie:
-    """Terms with their weights; a node is [children, term or None]."""
+    """Terms with the errors they allow; a node is [children, its terms]."""
 
-    terms: dict[str, bool]  # term: whether it is a stem
+    #: term: whether it is a stem; or pairs of both, where a stem is also a word of its own
+    terms: dict[str, bool] | tuple[tuple[str, bool], ...]
     exact_only: frozenset[str] = frozenset()
     root: list = field(init=False)
 
     def __post_init__(self):
-        self.root = [{}, None]
-        for term in self.terms:
+        self.root = [{}, []]
+        pairs = self.terms.items() if isinstance(self.terms, dict) else self.terms
+        allowed = {(t, s): 0 if t in self.exact_only else errors_allowed(t, s) for t, s in pairs}
+        for (term, stem), k in allowed.items():
             node = self.root
             for c in term:
-                node = node[0].setdefault(c, [{}, None])
-            node[1] = term
-        allowed = {t: 0 if t in self.exact_only else errors_allowed(t, s) for t, s in self.terms.items()}
+                node = node[0].setdefault(c, [{}, []])
+            node[1].append((term, stem, k))
         self.most = max(allowed.values(), default=0)
         # k errors leave one of k + 1 pieces of a term as it is, so a word with no piece of any term matches none
-        pieces = {t[len(t) * i // (k + 1) : len(t) * (i + 1) // (k + 1)] for t, k in allowed.items() for i in range(k + 1)}
+        pieces = {t[len(t) * i // (k + 1) : len(t) * (i + 1) // (k + 1)] for (t, _), k in allowed.items() for i in range(k + 1)}
         least = sorted((p for p in pieces if not any(q != p and q in p for q in pieces)), key=lambda p: (len(p), p))
         self.piece = re.compile("|".join(map(re.escape, least))).search if least else lambda _: None
 
@@ -108,10 +110,7 @@ class Trie:
                     now.append(before)
                 if not before:
                     continue
-                term = child[1]
-                if term is not None:
-                    stem = self.terms[term]
-                    allowed = 0 if term in self.exact_only else errors_allowed(term, stem)
+                for term, stem, allowed in child[1]:
                     for j in range(allowed + 1):
                         if now[j] if stem else now[j] & whole:
                             rank = (j, -len(term), term)
@@ -179,7 +178,7 @@ class Model:
     weights: tuple[float, float, float]
 
     def matcher(self) -> Matcher:
-        return Matcher(Trie(dict(self.terms), frozenset(self.exact_only)))
+        return Matcher(Trie(self.terms, frozenset(self.exact_only)))
 
     def score(self, exact, fuzzy):
         w = self.weights
@@ -245,11 +244,12 @@ def _merged_copies(toxic: list[tuple[list[int], set]]) -> list[set]:
     return out
 
 
-def learn_terms(toxic: list[tuple[list[int], set]], others: dict, n_others: int) -> dict[str, bool]:
+def learn_terms(toxic: list[tuple[list[int], set]], others: dict, n_others: int) -> set[tuple[str, bool]]:
     """Terms of the toxic texts; others counts the other texts that hold a candidate.
 
     First a greedy cover, by terms that explain texts left unexplained so far; then terms so frequent
-    in texts that are no copies of each other that they cannot be ordinary words.
+    in texts that are no copies of each other that they cannot be ordinary words.  A stem keeps the
+    words below it as terms of their own, as these allow errors where a short stem allows none.
     """
     toxic = _merged_copies(toxic)
     counts = Counter(p for parts in toxic for p in parts)
@@ -258,9 +258,10 @@ def learn_terms(toxic: list[tuple[list[int], set]], others: dict, n_others: int)
     for d, parts in enumerate(toxic):
         for p in parts & counts.keys():
             where.setdefault(p, set()).add(d)
-    terms: dict[str, bool] = {}
+    terms: set[tuple[str, bool]] = set()
 
     def take(good: set, left: set, shrink: bool) -> None:
+        words = [p for p in good if not p[1] and len(where[p]) >= LEAST]
         while good:
             n = {p: len(where[p] & left) for p in good}
             best = max(good, key=lambda p: (n[p], not p[1], len(p[0]), p[0]))
@@ -269,7 +270,9 @@ def learn_terms(toxic: list[tuple[list[int], set]], others: dict, n_others: int)
             # of word and beginnings that say the same, the whole word, else the longest beginning
             near = [p for p in good if n[p] >= 0.97 * n[best] and (p[0].startswith(best[0]) or best[0].startswith(p[0]))]
             best = max(near, key=lambda p: (not p[1], len(p[0]), p[0]))
-            terms[best[0]] = best[1]
+            terms.add(best)
+            if best[1]:
+                terms.update(p for p in words if p[0].startswith(best[0]))
             if shrink:
                 left = left - where[best]
                 good = {p for p in good if len(where[p] & left) >= LEAST}
@@ -278,7 +281,7 @@ def learn_terms(toxic: list[tuple[list[int], set]], others: dict, n_others: int)
     every = set(range(len(toxic)))
     take({p for p, n in counts.items() if n * base >= RATIO * (others.get(p, 0) + 0.5)}, every, True)
     strong = {p for p, n in counts.items() if n * base >= STRONG * (others.get(p, 0) + 0.5)}
-    take({p for p in strong if not any(p[0].startswith(t) or t.startswith(p[0]) for t in terms)}, every, False)
+    take({p for p in strong if not any(p[0].startswith(t) or t.startswith(p[0]) for t, _ in terms)}, every, False)
     return terms
 
 
@@ -334,13 +337,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     good = frozenset(p for p, n in wanted.items() if n * base >= RATIO * (others.get(p, 0) + 0.5))
     held = sample.where("_y").mapInPandas(_held(good), "bands array<long>, parts array<string>, stems array<string>").toLocalIterator()
     toxic = [(r["bands"], {(w, False) for w in r["parts"]} | {(w, True) for w in r["stems"]}) for r in held]
-    terms = learn_terms(toxic, others, n_others) if toxic and n_others else {}
+    terms = learn_terms(toxic, others, n_others) if toxic and n_others else set()
     if not terms:
         share = (n_toxic + 0.5) / (n_toxic + n_others + 1)
         return Model((), (), (float(np.log(share / (1 - share))), 0.0, 0.0))
 
     # a term whose misspellings are ordinary words keeps to its exact form
-    draft = Model(tuple(sorted(terms.items())), (), (0.0, 0.0, 0.0))
+    draft = Model(tuple(sorted(terms)), (), (0.0, 0.0, 0.0))
     rows = sample.mapInPandas(_measured(draft), "y boolean, exact double, fuzzy double, terms array<string>").collect()
     blamed = Counter(t for r in rows if not r["y"] for t in set(r["terms"]))
     model = Model(draft.terms, tuple(sorted(t for t, n in blamed.items() if n > max(1, 0.0005 * n_others))), draft.weights)

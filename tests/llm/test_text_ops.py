@@ -39,6 +39,20 @@ def test_automaton_is_edit_distance():
             assert (got and (got[1], got[0])) == (best and (best[0], best[2]))
 
 
+def test_misspellings_of_an_inflected_term(spark, prose):
+    rng = random.Random(21)
+    forms = ["grobel", "grobels", "grobelish"]
+    text = lambda w: f"{prose(rng, 20)} you {w} {prose(rng, 20)}"
+    rows = [(i, text(forms[i % 3]), 1) for i in range(120)] + [(200 + i, prose(rng, 40), 0) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = tox.fit(docs, docs)
+    assert ("grobel", True) in model.terms and {(f, False) for f in forms} <= set(model.terms)
+    wrong = ["grabel", "gobel", "grovels", "grobelihs", "grobels", "grobely"]
+    seen = spark.createDataFrame([(i, text(w)) for i, w in enumerate(wrong)] + [(100, prose(rng, 40))], "doc_id long, text string")
+    got = {r.doc_id: r.predicted for r in tox.score_texts(seen, model, ["doc_id"]).collect()}
+    assert got == {i: 1 for i in range(len(wrong))} | {100: 0}
+
+
 def test_context_weights():
     m = tox.Matcher(tox.Trie({"idiot": False, "worthless": False}))
     plain, quoted, aimed = (tox.features(t, m)[0] for t in ("what an idiot", 'he said "idiot" to all', "you idiot"))
