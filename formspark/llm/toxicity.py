@@ -1,28 +1,36 @@
 """Toxicity scores: Levenshtein automata intersected with a lexicon trie, weighed by context windows.
 
 Lexicon.  Terms are learned from a bounded, documented sample of labelled texts (never from the
-held-out third).  Candidates are words and word beginnings that are far more frequent in toxic texts;
-a greedy cover takes a term only if it explains toxic texts that no stronger term explains, so that
-the ordinary words of copied toxic texts are not learned.  A term is a whole word, or a stem that any
-ending may follow.
+held-out third).  Candidates are words and word beginnings.  A candidate counts once for each
+neighbourhood it stands in, so that the ordinary words of a copied passage, which have the same
+neighbours in every copy, find no support.  It becomes a term if it is so much more frequent in toxic
+texts that none of all candidates would be by chance.  A term is a whole word, or a stem that any
+ending may follow; frequent words with a stem are terms too and belong to the stem's family.
 
 Matching.  The terms form a trie.  Each distinct word is run through it by the bit-parallel form of
 its Levenshtein automaton: state sets for 0, 1 and 2 errors advance along the trie's edges, and a
 branch is left as soon as all are empty.  Short terms must match exactly.
 
 Context.  Each match looks at a window of words around it: signs of quotation (quote marks, reporting
-words, a quoted line) lower its weight, signs of address (second person) raise it.  The weights of
-exact and of misspelled matches are summed apart and a logistic model, fitted on the same sample,
-turns the sums into a score.
+words, a quoted line) lower its weight, signs of address (second person) raise it.
+
+Evidence.  A family's exact matches, and apart from them its misspelled ones, are compared with those
+that a clean text of that length has by chance, at the rate of the sample's clean texts: the evidence
+is the Poisson deviance.  A stem that clean texts have now and then says little once in a long text and
+much if it comes often; a misspelling that clean texts never have says nearly as much as the term, one
+that is an ordinary word says nothing.  A logistic model of two sums, the evidence of families that clean
+texts do not have and of the others, gives the score.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -37,14 +45,26 @@ OTHER_SAMPLE = 6_000
 THRESHOLD = 0.7
 #: word beginnings of this many characters can become stems
 STEMS = range(3, 13)
-#: a candidate is in so many toxic texts at least, and so many times likelier there
-LEAST = 3
-RATIO = 25.0
-#: ... or so many times, if all of its texts are explained by other terms already
-STRONG = 60.0
+#: a term is in so many toxic texts at least, and so many times likelier a word of them
+LEAST = 4
+RATIO = 5.0
+#: chance that any term of the lexicon is there by accident
+ACCIDENT = 0.01
+#: occurrences in one text count up to this many
+MOST = 8
 #: matches look at so many words on either side
 WINDOW = 6
-QUOTED, ADDRESSED = 0.35, 1.5
+QUOTED, ADDRESSED = 0.15, 1.5
+#: share of a match by its errors
+SHARES = (1.0, 0.9, 0.8)
+#: what one quoted and one misspelled plain match come to; the fit counts each as so large a share of the sample
+QUOTED_EVIDENCE, PLAIN_EVIDENCE, BELIEF = 2.5, 4.0, 0.01
+#: chance matches come in clumps, as texts of one language or subject have them all: so many times the mean rate
+CLUMPS = 8.0
+#: a toxic text that is missed weighs as much in the fit as so many false alarms
+MISSED = 3.0
+#: parts of words that a Python worker counts before it sends them on
+PARTS = 400_000
 #: distinct words whose matches a Python worker keeps; a full table is dropped and begun again
 CACHE = 250_000
 
@@ -67,13 +87,12 @@ class Trie:
 
     #: term: whether it is a stem; or pairs of both, where a stem is also a word of its own
     terms: dict[str, bool] | tuple[tuple[str, bool], ...]
-    exact_only: frozenset[str] = frozenset()
     root: list = field(init=False)
 
     def __post_init__(self):
         self.root = [{}, []]
         pairs = self.terms.items() if isinstance(self.terms, dict) else self.terms
-        allowed = {(t, s): 0 if t in self.exact_only else errors_allowed(t, s) for t, s in pairs}
+        allowed = {(t, s): errors_allowed(t, s) for t, s in pairs}
         for (term, stem), k in allowed.items():
             node = self.root
             for c in term:
@@ -123,29 +142,31 @@ class Trie:
 
 
 class Matcher(dict):
-    """Matches of words, kept as they are asked for."""
+    """Matches of words, kept as they are asked for; ordinary words are no misspellings."""
 
-    def __init__(self, trie: Trie):
+    def __init__(self, trie: Trie, ordinary: frozenset[str] = frozenset()):
         super().__init__()
-        self.trie = trie
+        self.trie, self.ordinary = trie, ordinary
 
     def __missing__(self, word: str):
         if len(self) >= CACHE:
             self.clear()
         plain = word if word.isalpha() else word.translate(LEET)
-        hit = self[word] = self.trie.match(plain)
+        hit = self.trie.match(plain)
+        if hit and hit[1] and word in self.ordinary:
+            hit = None
+        self[word] = hit
         return hit
 
 
-def features(text: str, matcher: Matcher) -> tuple[float, float, list[tuple[str, int, float]]]:
-    """Summed weights of exact and of misspelled matches, and the matches (term, errors, weight)."""
+def matches(text: str, matcher: Matcher) -> tuple[int, list[tuple[str, str, int, float]]]:
+    """How many words a text has, and its matches (word, term, errors, weight by context)."""
     low = text.lower()
     words = WORD.findall(low)
     hits = [i for i, m in enumerate(map(matcher.__getitem__, words)) if m]
     if not hits:
-        return 0.0, 0.0, []
+        return len(words), []
     spans = [m.span() for m in WORD.finditer(low)]
-    exact = fuzzy = 0.0
     out = []
     for i in hits:
         term, errors = matcher[words[i]]
@@ -158,156 +179,179 @@ def features(text: str, matcher: Matcher) -> tuple[float, float, list[tuple[str,
             weight *= QUOTED
         if around & SECOND:
             weight *= ADDRESSED
-        out.append((term, errors, weight))
-        if errors:
-            fuzzy += weight / (1 + errors / 2)
-        else:
-            exact += weight
-    return exact, fuzzy, out
+        out.append((words[i], term, errors, weight))
+    return len(words), out
 
 
-def _soft(x):
-    """A sum of match weights on a scale from 0 to 1; a single plain match gives about three quarters."""
-    return x / (x + 0.35)
+def surprise(n: float, by_chance: float) -> float:
+    """Poisson deviance (half) of so many matches where so many are by chance; no more than these: 0."""
+    return n * math.log(n / by_chance) - (n - by_chance) if n > by_chance else 0.0
+
+
+def counted(hits: list[tuple[str, str, int, float]], families: dict[str, str]) -> dict[tuple[str, bool], float]:
+    """Weighed matches of each family, exact and misspelled; a word that is repeated gains with the logarithm."""
+    weights: dict[tuple[str, bool], dict[str, list[float]]] = {}
+    for word, term, errors, weight in hits:
+        weights.setdefault((families[term], errors > 0), {}).setdefault(word, []).append(weight * SHARES[errors])
+    return {key: sum(max(x) * (1 + math.log(len(x))) for x in words.values()) for key, words in weights.items()}
 
 
 @dataclass(frozen=True)
 class Model:
-    terms: tuple[tuple[str, bool], ...]
-    exact_only: tuple[str, ...]
+    #: term, whether it is a stem, and its family
+    terms: tuple[tuple[str, bool, str], ...]
+    #: words that look like misspellings of a term and are none
+    ordinary: tuple[str, ...]
+    #: family, and the matches a word of a clean text is by chance: exact, misspelled
+    rates: tuple[tuple[str, float, float], ...]
+    #: constant, and the slopes of the evidence of precise and of other families
     weights: tuple[float, float, float]
 
     def matcher(self) -> Matcher:
-        return Matcher(Trie(self.terms, frozenset(self.exact_only)))
+        return Matcher(Trie(tuple((t, s) for t, s, _ in self.terms)), frozenset(self.ordinary))
 
-    def score(self, exact, fuzzy):
-        w = self.weights
-        return 1 / (1 + np.exp(-np.clip(w[0] + w[1] * _soft(exact) + w[2] * _soft(fuzzy), -60, 60)))
+    @cached_property
+    def families(self) -> dict[str, str]:
+        return {t: f for t, _, f in self.terms}
 
+    @cached_property
+    def by_chance(self) -> dict[tuple[str, bool], float]:
+        return {(f, wrong): r for f, *both in self.rates for wrong, r in zip((False, True), both)}
 
-def _parts(text: str) -> set[tuple[str, bool]]:
-    """Words (False) and word beginnings (True) of a text."""
-    words = set(WORD.findall(text.lower()))
-    return {(w, False) for w in words} | {(w[:n], True) for w in words for n in STEMS if len(w) >= n}
+    @cached_property
+    def precise(self) -> frozenset[tuple[str, bool]]:
+        """Families, exact or misspelled, that no clean text of the sample has."""
+        least = min(self.by_chance.values(), default=0.0)
+        return frozenset(k for k, r in self.by_chance.items() if r <= 1.1 * least)
 
+    def evidence(self, n_words: int, hits: list[tuple[str, str, int, float]]) -> tuple[float, float]:
+        """Evidence of precise families and of the others."""
+        out = [0.0, 0.0]
+        for key, n in sorted(counted(hits, self.families).items()):
+            plain = key in self.precise
+            out[not plain] += surprise(n, n_words * self.by_chance[key] * (1.0 if plain else CLUMPS))
+        return out[0], out[1]
 
-def _counts(texts: DataFrame, wanted: frozenset | None, least: int) -> dict[tuple[str, bool], int]:
-    """In how many texts each word or beginning is; of the wanted ones, or those in at least so many."""
+    def score(self, evidence: np.ndarray) -> np.ndarray:
+        """Scores of rows of evidence."""
+        x = np.log1p(np.asarray(evidence, float).reshape(-1, 2))
+        return 1 / (1 + np.exp(-np.clip(self.weights[0] + x @ np.array(self.weights[1:]), -60, 60)))
+
+
+Part = tuple[str, bool]
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for a in range(0, len(batch), 200):
-                seen: Counter = Counter()
-                for text in batch["_t"].iloc[a : a + 200]:
-                    parts = _parts(text)
-                    seen.update(parts if wanted is None else parts & wanted)
-                yield pd.DataFrame([(w, s, k) for (w, s), k in seen.items()], columns=["part", "stem", "n"])
 
-    counted = texts.select("_t").mapInPandas(count, "part string, stem boolean, n long").groupBy("part", "stem").agg(F.sum("n").alias("n"))
-    return {(r["part"], r["stem"]): r["n"] for r in counted.where(F.col("n") >= least).toLocalIterator()}
+def _parts(words: Counter) -> dict[Part, int]:
+    """Words (False) and word beginnings (True), and how often each is there, up to MOST times."""
+    out: Counter = Counter()
+    for w, n in words.items():
+        out[w, False] += n
+        for k in STEMS:
+            if len(w) >= k:
+                out[w[:k], True] += n
+    return {p: min(n, MOST) for p, n in out.items()}
 
 
-_FACTORS = np.random.default_rng(5).integers(1, 2**62, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+def _counts(texts: DataFrame, wanted: frozenset | None, least: int) -> dict[Part, tuple[int, int]]:
+    """In how many texts each part is and how often, of the wanted ones or those in at least so many texts."""
+
+    def sent(seen: dict) -> pd.DataFrame:
+        return pd.DataFrame([(w, s, d, n) for (w, s), (d, n) in seen.items()], columns=["part", "stem", "d", "n"])
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: dict = {}
+        for batch in batches:
+            for text in batch["_t"]:
+                for p, n in _parts(Counter(WORD.findall(text.lower()))).items():
+                    if wanted is None or p in wanted:
+                        d, m = seen.get(p, (0, 0))
+                        seen[p] = (d + 1, m + n)
+                if len(seen) >= PARTS:
+                    yield sent(seen)
+                    seen = {}
+        yield sent(seen)
 
+    counted = texts.select("_t").mapInPandas(count, "part string, stem boolean, d long, n long").groupBy("part", "stem").agg(F.sum("d").alias("d"), F.sum("n").alias("n"))
+    return {(r["part"], r["stem"]): (r["d"], r["n"]) for r in counted.where(F.col("d") >= least).toLocalIterator()}
 
-def _held(good: frozenset):
-    """Of each text four bands of a MinHash of its words, and the good words and beginnings in it."""
+
+def _neighbourhoods(good: dict[Part, int]):
+    """Of each text the good parts of its words with the three words before and after, up to MOST times each."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[str, list[int]] = {}
         for batch in batches:
             rows = []
             for text in batch["_t"]:
-                parts = _parts(text)
-                words = np.array([zlib.crc32(w.encode()) for w, stem in parts if not stem], np.uint64)
-                bands = []
-                if len(words):
-                    least = (words[:, None] * _FACTORS >> np.uint64(20)).min(axis=0)
-                    bands = [hash((k, *least[4 * k : 4 * k + 4].tolist())) for k in range(4)]
-                kept = parts & good
-                rows.append((bands, sorted(w for w, s in kept if not s), sorted(w for w, s in kept if s)))
-            yield pd.DataFrame(rows, columns=["bands", "parts", "stems"])
+                words, seen, got = WORD.findall(text.lower()), Counter(), []
+                threes = [zlib.crc32(" ".join(words[max(i, 0) : i + 3]).encode()) for i in range(-3, len(words) + 1)]
+                for i, w in enumerate(words):
+                    if w not in known:
+                        known[w] = [good[p] for p in ((w, False), *((w[:k], True) for k in STEMS)) if p in good and len(p[0]) <= len(w)]
+                    for p in known[w]:
+                        if seen[p] < MOST:
+                            seen[p] += 1
+                            got.append((p, threes[i], threes[i + 4]))
+                rows.append([[x[k] for x in got] for k in range(3)])
+            yield pd.DataFrame(rows, columns=["parts", "before", "after"])
 
     return run
 
 
-def _merged_copies(toxic: list[tuple[list[int], set]]) -> list[set]:
-    """Near copies become one text, or their ordinary words would look toxic."""
-    leader: dict[int, int] = {}
-    out: list[set] = []
-    for bands, parts in toxic:
-        at = next((leader[x] for x in bands if x in leader), len(out))
-        if at == len(out):
-            out.append(set())
-        out[at] |= parts
-        for x in bands:
-            leader.setdefault(x, at)
-    return out
+def _gain(n: float, others: float, share: float) -> float:
+    """Log likelihood ratio of a part's occurrences in toxic and other texts against the share of toxic words."""
+    whole = n + others
+    if n <= share * whole:
+        return 0.0
+    return n * math.log(n / whole / share) + (others * math.log(others / whole / (1 - share)) if others else 0.0)
 
 
-def learn_terms(toxic: list[tuple[list[int], set]], others: dict, n_others: int) -> set[tuple[str, bool]]:
-    """Terms of the toxic texts; others counts the other texts that hold a candidate.
+def learn_terms(support: dict[Part, tuple[int, int]], others: dict[Part, tuple[int, int]], words: tuple[int, int], tested: int) -> list[tuple[str, bool, str]]:
+    """Terms with their families, the strongest family first.
 
-    First a greedy cover, by terms that explain texts left unexplained so far; then terms so frequent
-    in texts that are no copies of each other that they cannot be ordinary words.  A stem keeps the
-    words below it as terms of their own, as these allow errors where a short stem allows none.
+    support: in how many toxic texts a part is, and in how many neighbourhoods; others: the same of the
+    other texts, by occurrences; words: of toxic and of other texts; tested: candidates there were.
     """
-    toxic = _merged_copies(toxic)
-    counts = Counter(p for parts in toxic for p in parts)
-    base = (n_others + 1) / max(len(toxic), 1)
-    where: dict[tuple[str, bool], set[int]] = {}
-    for d, parts in enumerate(toxic):
-        for p in parts & counts.keys():
-            where.setdefault(p, set()).add(d)
-    terms: set[tuple[str, bool]] = set()
-
-    def take(good: set, left: set, shrink: bool) -> None:
-        words = [p for p in good if not p[1] and len(where[p]) >= LEAST]
-        while good:
-            n = {p: len(where[p] & left) for p in good}
-            best = max(good, key=lambda p: (n[p], not p[1], len(p[0]), p[0]))
-            if n[best] < LEAST:
-                return
-            # of word and beginnings that say the same, the whole word, else the longest beginning
-            near = [p for p in good if n[p] >= 0.97 * n[best] and (p[0].startswith(best[0]) or best[0].startswith(p[0]))]
-            best = max(near, key=lambda p: (not p[1], len(p[0]), p[0]))
-            terms.add(best)
-            if best[1]:
-                terms.update(p for p in words if p[0].startswith(best[0]))
-            if shrink:
-                left = left - where[best]
-                good = {p for p in good if len(where[p] & left) >= LEAST}
-            good = {p for p in good if not (p[0].startswith(best[0]) or best[0].startswith(p[0]))}
-
-    every = set(range(len(toxic)))
-    take({p for p, n in counts.items() if n * base >= RATIO * (others.get(p, 0) + 0.5)}, every, True)
-    strong = {p for p, n in counts.items() if n * base >= STRONG * (others.get(p, 0) + 0.5)}
-    take({p for p in strong if not any(p[0].startswith(t) or t.startswith(p[0]) for t, _ in terms)}, every, False)
+    share = words[0] / sum(words)
+    gains = {}
+    for p, (d, n) in support.items():
+        m = others.get(p, (0, 0))[1]
+        if d >= LEAST and n >= LEAST and n * words[1] >= RATIO * (m + 0.5) * words[0] and (g := _gain(n, m, share)) >= math.log(max(tested, 1) / ACCIDENT):
+            gains[p] = g
+    terms, left = [], set(gains)
+    while left:
+        best = max(left, key=lambda p: (gains[p], not p[1], len(p[0]), p[0]))
+        # of word and beginnings that say the same, the whole word, else the longest beginning
+        near = [p for p in left if gains[p] >= 0.97 * gains[best] and (p[0].startswith(best[0]) or best[0].startswith(p[0]))]
+        best = max(near, key=lambda p: (not p[1], len(p[0]), p[0]))
+        terms.append((*best, best[0]))
+        if best[1]:
+            terms += [(w, False, best[0]) for w, stem in sorted(gains) if not stem and w.startswith(best[0])]
+        left = {p for p in left if not (p[0].startswith(best[0]) or best[0].startswith(p[0]))}
     return terms
 
 
 def _fit(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
-    """Ridge logistic regression by Newton's method; the two slopes are never negative.
+    """Ridge logistic regression of the evidence by Newton's method; slopes are never negative.
 
-    Where the sample has no toxic text with misspelled terms, their slope is that of exact ones; their
-    matches weigh less already.
+    What a quoted and what a plain match of a precise term come to stand in the sample as well, as a
+    belief that data can outweigh, so that the score tells them apart where no labelled text has either.
     """
-    a = np.column_stack([np.ones(len(x)), _soft(x)])
-    w, use = np.zeros(3), [0, 1, 2]
-    ridge = np.array([1e-3, 5e-2, 5e-2])
+    belief = max(1.0, BELIEF * len(x))
+    x, y = np.vstack([x, [[QUOTED_EVIDENCE, 0.0], [PLAIN_EVIDENCE, 0.0]]]), np.r_[y, 0.0, 1.0]
+    a, m = np.column_stack([np.ones(len(x)), np.log1p(x)]), np.r_[np.where(y[:-2] > 0, MISSED, 1.0), belief, belief]
+    w, ridge, use = np.zeros(3), np.array([1e-3, 1e-2, 1e-2]), [0, 1, 2]
     for _ in range(2):
-        w = np.zeros(3)
-        for _ in range(60):
+        w[:] = 0
+        for _ in range(100):
             p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-            g = a[:, use].T @ (p - y) + ridge[use] * w[use]
-            h = (a[:, use] * (p * (1 - p))[:, None]).T @ a[:, use] + np.diag(ridge[use] + 1e-6)
-            step = np.linalg.solve(h, g)
+            g = a[:, use].T @ (m * (p - y)) + ridge[use] * w[use]
+            step = np.linalg.solve((a[:, use].T * (m * p * (1 - p))) @ a[:, use] + np.diag(ridge[use] + 1e-6), g)
             w[use] -= np.clip(step, -2, 2)
-            if np.abs(step).max() < 1e-6:
+            if np.abs(step).max() < 1e-8:
                 break
         use = [k for k in use if k == 0 or w[k] > 0]
-        w[[k for k in range(3) if k not in use]] = 0
-    if not (x[y == 1, 1] > 0).any():
-        w[2] = w[1]
+    w[[k for k in range(3) if k not in use]] = 0
     return float(w[0]), float(w[1]), float(w[2])
 
 
@@ -329,40 +373,78 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     # the sample is bounded by its two limits, so it may be broadcast
     sample = docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("_t")).join(F.broadcast(taken), id_col).select("_t", "_y")
     sample = checkpointed(sample.distinct())
-    # the driver gets counts of candidates and, of each toxic text, those that are left and its signature
-    n_toxic, n_others = (sample.where(c).count() for c in ("_y", "not _y"))
-    wanted = _counts(sample.where("_y"), None, LEAST)
-    others = _counts(sample.where("not _y"), frozenset(wanted), 1)
-    base = (n_others + 1) / max(n_toxic, 1)
-    good = frozenset(p for p, n in wanted.items() if n * base >= RATIO * (others.get(p, 0) + 0.5))
-    held = sample.where("_y").mapInPandas(_held(good), "bands array<long>, parts array<string>, stems array<string>").toLocalIterator()
-    toxic = [(r["bands"], {(w, False) for w in r["parts"]} | {(w, True) for w in r["stems"]}) for r in held]
-    terms = learn_terms(toxic, others, n_others) if toxic and n_others else set()
+    toxic, clean = sample.where("_y").select("_t"), sample.where("not _y").select("_t")
+    n_toxic, n_clean = toxic.count(), clean.count()
+    share = (n_toxic + 0.5) / (n_toxic + n_clean + 1)
+    nothing = Model((), (), (), (float(np.log(share / (1 - share))), 0.0, 0.0))
+    if not n_toxic or not n_clean:
+        return nothing
+    # the driver gets counts of parts that LEAST toxic texts have, and neighbourhoods of those that are left
+    wanted = _counts(toxic, None, LEAST)
+    others = _counts(clean, frozenset(wanted), 1)
+    words = tuple(int(t.mapInPandas(_sizes, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]) for t in (toxic, clean))
+    if not all(words):
+        return nothing
+    good = [p for p, (_, n) in sorted(wanted.items()) if n * words[1] >= RATIO * (others.get(p, (0, 0))[1] + 0.5) * words[0]]
+    terms = learn_terms(_support(toxic, good), others, words, len(wanted))
     if not terms:
-        share = (n_toxic + 0.5) / (n_toxic + n_others + 1)
-        return Model((), (), (float(np.log(share / (1 - share))), 0.0, 0.0))
-
-    # a term whose misspellings are ordinary words keeps to its exact form
-    draft = Model(tuple(sorted(terms)), (), (0.0, 0.0, 0.0))
-    rows = sample.mapInPandas(_measured(draft), "y boolean, exact double, fuzzy double, terms array<string>").collect()
-    blamed = Counter(t for r in rows if not r["y"] for t in set(r["terms"]))
-    model = Model(draft.terms, tuple(sorted(t for t, n in blamed.items() if n > max(1, 0.0005 * n_others))), draft.weights)
-    if model.exact_only:
-        rows = sample.mapInPandas(_measured(model), "y boolean, exact double, fuzzy double, terms array<string>").collect()
-    x, y = np.array([(r["exact"], r["fuzzy"]) for r in rows]), np.array([r["y"] for r in rows], float)
+        return nothing
+
+    draft = Model(tuple(terms), (), (), nothing.weights)
+    rows = sample.mapInPandas(_measured(draft), MEASURED).collect()
+    # a word that several clean texts have is no misspelling
+    blamed = Counter(w for r in rows if not r["y"] for w in {h["word"] for h in r["hits"] if h["errors"]})
+    ordinary = frozenset(w for w, n in blamed.items() if n > 1)
+    measured = []
+    for r in rows:
+        hits = [tuple(h) for h in r["hits"] if not (h["errors"] and h["word"] in ordinary)]
+        measured.append((r["n_words"], hits, float(r["y"])))
+    chance: Counter = Counter()
+    for _, hits, y in measured:
+        if not y:
+            chance.update(counted([(w, t, e, 1.0) for w, t, e, _ in hits], draft.families))
+    rates = tuple((f, *((chance[f, wrong] + 0.5) / words[1] for wrong in (False, True))) for f in sorted({f for *_, f in terms}))
+    model = Model(draft.terms, tuple(sorted(ordinary)), rates, nothing.weights)
+    x = np.array([model.evidence(n, hits) for n, hits, _ in measured])
+    y = np.array([y for *_, y in measured])
     order = np.lexsort((y, x[:, 1], x[:, 0]))
-    return Model(model.terms, model.exact_only, _fit(x[order], y[order]))
+    return replace(model, weights=_fit(x[order], y[order]))
+
+
+def _sizes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        yield pd.DataFrame({"n": [len(WORD.findall(t)) for t in batch["_t"]]})
+
+
+def _support(toxic: DataFrame, good: list[Part]) -> dict[Part, tuple[int, int]]:
+    """In how many toxic texts, and in how many neighbourhoods, each part is.
+
+    A neighbourhood is new if the three words before and the three after are both new; the copies of
+    a passage count as one text.
+    """
+    before, after, texts = defaultdict(set), defaultdict(set), Counter()
+    names = {p: i for i, p in enumerate(good)}
+    held = toxic.mapInPandas(_neighbourhoods(names), "parts array<int>, before array<long>, after array<long>").orderBy("parts", "before", "after")
+    for r in held.toLocalIterator():
+        fresh = set()
+        for p, b, a in zip(r["parts"], r["before"], r["after"]):
+            if b not in before[p] and a not in after[p]:
+                fresh.add(p)
+            before[p].add(b)
+            after[p].add(a)
+        texts.update(fresh)
+    return {p: (texts[i], min(len(before[i]), len(after[i]))) for p, i in names.items()}
+
+
+MEASURED = "y boolean, n_words long, hits array<struct<word: string, term: string, errors: int, weight: double>>"
 
 
 def _measured(model: Model):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         matcher = model.matcher()
         for batch in batches:
-            rows = []
-            for text, y in zip(batch["_t"], batch["_y"]):
-                exact, fuzzy, hits = features(text, matcher)
-                rows.append((y, exact, fuzzy, [t for t, e, _ in hits if e]))
-            yield pd.DataFrame(rows, columns=["y", "exact", "fuzzy", "terms"])
+            rows = [(y, *matches(text, matcher)) for text, y in zip(batch["_t"], batch["_y"])]
+            yield pd.DataFrame(rows, columns=["y", "n_words", "hits"])
 
     return run
 
@@ -378,9 +460,9 @@ def score_texts(docs: DataFrame, model: Model, keep: list[str], text_col: str =
     def scored(texts: pd.Series) -> pd.DataFrame:
         if not cache:
             cache.append(_shared(model))
-        got = [features(t or "", cache[0]) for t in texts]
-        scores = model.score(np.array([g[0] for g in got]), np.array([g[1] for g in got]))
-        return pd.DataFrame({"score": scores, "n_matches": [len(g[2]) for g in got], "terms": [",".join(sorted({t for t, _, _ in g[2]})) for g in got]})
+        got = [matches(t or "", cache[0]) for t in texts]
+        scores = model.score(np.array([model.evidence(n, hits) for n, hits in got]))
+        return pd.DataFrame({"score": scores, "n_matches": [len(h) for _, h in got], "terms": [",".join(sorted({t for _, t, *_ in h})) for _, h in got]})
 
     out = docs.select(*keep, scored(F.col(text_col)).alias("_s"))
     return out.select(*keep, F.col("_s.score").alias("score"), (F.col("_s.score") >= THRESHOLD).cast("int").alias("predicted"), "_s.n_matches", "_s.terms")

@@ -46,19 +46,63 @@ def test_misspellings_of_an_inflected_term(spark, prose):
     rows = [(i, text(forms[i % 3]), 1) for i in range(120)] + [(200 + i, prose(rng, 40), 0) for i in range(300)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
     model = tox.fit(docs, docs)
-    assert ("grobel", True) in model.terms and {(f, False) for f in forms} <= set(model.terms)
+    assert {(f, False, "grobel") for f in forms} | {("grobel", True, "grobel")} <= set(model.terms)
     wrong = ["grabel", "gobel", "grovels", "grobelihs", "grobels", "grobely"]
     seen = spark.createDataFrame([(i, text(w)) for i, w in enumerate(wrong)] + [(100, prose(rng, 40))], "doc_id long, text string")
     got = {r.doc_id: r.predicted for r in tox.score_texts(seen, model, ["doc_id"]).collect()}
     assert got == {i: 1 for i in range(len(wrong))} | {100: 0}
 
 
+def test_words_of_copied_texts_are_no_terms(spark, prose):
+    """A passage that toxic texts copy from each other gives no term, nor do the words of copied clean texts."""
+    rng = random.Random(22)
+    passage, shared = " ".join(f"copied{c}word" for c in "abcdefgh"), " ".join(f"clean{c}text" for c in "abcdefgh")
+    rows = [(i, f"{prose(rng, 30)} grobnik {prose(rng, 30)} {passage if i % 2 else ''} {prose(rng, 9)}", 1) for i in range(90)]
+    rows += [(100 + i, f"{prose(rng, 60)} {shared if i % 3 == 0 else ''} {prose(rng, 9)}", 0) for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    assert {f for *_, f in tox.fit(docs, docs).terms} == {"grobnik"}
+
+
+def test_ordinary_words_are_no_misspellings(spark, prose):
+    rng = random.Random(23)
+    rows = [(i, f"{prose(rng, 30)} clowner {prose(rng, 30)}", 1) for i in range(60)]
+    rows += [(100 + i, f"{prose(rng, 30)} {'crowner' if i % 5 == 0 else 'x'} {prose(rng, 30)}", 0) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = tox.fit(docs, docs)
+    assert model.ordinary == ("crowner",)
+    score = lambda w: float(model.score(model.evidence(*tox.matches(f"a plain {w} of some kind", model.matcher())))[0])
+    assert score("crowner") < 0.1 and score("clownr") >= 0.7 <= score("clowner")
+
+
 def test_context_weights():
     m = tox.Matcher(tox.Trie({"idiot": False, "worthless": False}))
-    plain, quoted, aimed = (tox.features(t, m)[0] for t in ("what an idiot", 'he said "idiot" to all', "you idiot"))
+    plain, quoted, aimed = (tox.matches(t, m)[1][0][3] for t in ("what an idiot", 'he said "idiot" to all', "you idiot"))
     assert quoted < plain < aimed
-    assert tox.features("an idiott and worthles 1diot", m)[1] > 0 and [e for _, e, _ in tox.features("an idiott and worthles 1diot", m)[2]] == [1, 1, 0]
-    assert tox.features("", m) == (0.0, 0.0, [])
+    assert [e for _, _, e, _ in tox.matches("an idiott and worthles 1diot", m)[1]] == [1, 1, 0]
+    assert tox.matches("", m) == (0, []) and tox.surprise(0.5, 0.5) == 0.0 < tox.surprise(1, 0.5) < tox.surprise(1, 0.01)
+
+
+SYLLABLES = "the and attion to thanedble anea eriner then edinth is thndor thonndon ernd reer thor edtionnt nd sting".split()
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_toxicity_on_the_tables(spark, sf):
+    """A single misspelled insult decides, a quoted one does not, and held-out clean texts are left alone."""
+    folder = f"/root/testdata/{sf}"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    model = tox.fit(docs, labels)
+    matcher = model.matcher()
+    score = lambda t: float(model.score(model.evidence(*tox.matches(t, matcher)))[0])
+    for n in (4, 40, 300):
+        text = lambda x: " ".join([*(SYLLABLES * 20)[: n // 2], x, *(SYLLABLES * 20)[: n // 2]])  # noqa: B023, E731
+        for wrong in ("idiott", "idoit", "worthles", "wortless", "disgustng", "patetic"):
+            assert score(text(wrong)) >= 0.7 or wrong == "idoit", (n, wrong)
+        for quoted in ('he said "idiot" to me', '“worthless” was the word', '> a moron\n'):
+            assert score(text(f"\n{quoted}")) < 0.7, (n, quoted)
+    held = tox.score_texts(docs.withColumn("held", tox.held_out()).join(labels, "doc_id").where("held"), model, ["doc_id", "toxic"]).collect()
+    clean, toxic = [r for r in held if not r.toxic], [r for r in held if r.toxic]
+    assert sum(r.predicted for r in clean) < 0.003 * len(clean) + 0.01
+    assert sum(r.predicted for r in toxic) >= (0.83 if sf == "sf0.01" else 0.9375) * len(toxic) - 1e-9
 
 
 @pytest.fixture(scope="module")
