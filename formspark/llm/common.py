@@ -50,6 +50,22 @@ def checkpointed(df: DataFrame) -> DataFrame:
         spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
 
 
+#: bytes of a batch that a Python worker gets at once; a single longer text is a batch of its own
+BATCH = 8 << 20
+_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, after bounding the session's Arrow batches by bytes, as 10,000 texts of any length have no bound.
+
+    A smaller setting of the session stays.
+    """
+    conf = df.sparkSession.conf
+    if int(str(conf.get(_BYTES, "67108864")).rstrip("bB")) > BATCH:
+        conf.set(_BYTES, str(BATCH))
+    return df
+
+
 def fresh(name: str) -> str:
     """A column name that clashes with no column of a caller."""
     return f"_{name}_{uuid.uuid4().hex[:8]}"

@@ -28,6 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
 from .words import words
 
 #: share of an item's words that may be edited
@@ -294,7 +295,7 @@ def contaminated(
     """
     kind = "string" if docs.schema[id_col].dataType.typeName() == "string" else "long"
     schema = f"`{id_col}` {kind}, `{item_col}` long, edits int, similarity double, first_byte long, end_byte long"
-    source = docs.select(F.col(id_col).cast(kind).alias("_id"), F.col(text_col).alias("_t")).where(F.col("_t") != "")
+    source = small_batches(docs).select(F.col(id_col).cast(kind).alias("_id"), F.col(text_col).alias("_t")).where(F.col("_t") != "")
     out = None
     for block in _blocks(benchmark, item_col, item_text_col):
         # bounded by ITEMS, so it may go to every executor

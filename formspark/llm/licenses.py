@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 #: bytes of words in UTF-8: digits, lower-case letters and everything beyond ASCII
 WORD_BYTE = np.zeros(256, bool)
 WORD_BYTE[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
@@ -327,4 +329,4 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return out.astype({"first_word": "Int64", "last_word": "Int64"})
 
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col), scanned(text).alias("_s")).select(id_col, "_s.*")
+    return small_batches(docs).select(F.col(id_col), scanned(text).alias("_s")).select(id_col, "_s.*")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .common import checkpointed
+from .common import checkpointed, small_batches
 from .graph import components
 
 SHINGLE = 3
@@ -231,7 +231,7 @@ def links(nodes: DataFrame, bits: int = MAX_BITS) -> DataFrame:
     """
     if bits > MAX_BITS:
         raise ValueError("the segments guarantee links of at most three bits")
-    keyed = nodes.select("fp", "node").mapInPandas(_keyed, "key long, fp long, node long")
+    keyed = small_batches(nodes).select("fp", "node").mapInPandas(_keyed, "key long, fp long, node long")
     return keyed.repartition("key").sortWithinPartitions("key").mapInPandas(_links(bits), "a long, b long").distinct()
 
 
@@ -243,7 +243,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     other.  Rows with a null id are kept; their group takes the smallest id that is not null.
     Repeated rows stay repeated; other columns of docs are not read.
     """
-    prints = checkpointed(docs.select(F.col(id_col).cast("long").alias("_id"), fingerprint(F.col(text_col)).alias("fp")))
+    prints = checkpointed(small_batches(docs).select(F.col(id_col).cast("long").alias("_id"), fingerprint(F.col(text_col)).alias("fp")))
     nodes = prints.groupBy("fp").agg(F.min("_id").alias("node"))
     found = components(links(nodes.where(F.col("node").isNotNull()), bits))
     named = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import checkpointed, partitions
+from .common import checkpointed, partitions, small_batches
 
 LENGTH = 50
 GRAM = 24
@@ -486,7 +486,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     row = F.struct(*[F.col(c) for c in keep]) if keep else F.lit(0)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("th"), text.alias("text"), row.alias("row"))
+    base = small_batches(docs).select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("th"), text.alias("text"), row.alias("row"))
 
     # 1. anchors whose gram is in two documents
     buckets = max(partitions(docs.sparkSession), 1)

@@ -22,9 +22,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 MARK = "▁"
-#: Distinct segments whose tables a Python worker keeps; a full table is dropped and begun again.
-CACHE = 1_000_000
+#: bytes of segments, and pairs, that a Python worker keeps; a full table is dropped and begun again
+CACHE_BYTES = 64 << 20
+CACHE = 500_000
+#: what an entry of a table takes beside its characters
+ENTRY = 160
 LIMIT = 4096
 
 
@@ -32,11 +37,17 @@ class _Counts(dict):
     def __init__(self, make):
         super().__init__()
         self.make = make
+        self.size = 0
 
     def __missing__(self, segment: str) -> int:
-        if len(self) >= CACHE:
+        n = self.make(segment)
+        size = ENTRY + 4 * len(segment)
+        if self.size + size > CACHE_BYTES:
             self.clear()
-        n = self[segment] = self.make(segment)
+            self.size = 0
+        if size <= CACHE_BYTES:
+            self[segment] = n
+            self.size += size
         return n
 
 
@@ -174,7 +185,7 @@ def count_tokens(
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     return (
-        docs.select(F.col(id_col), text.alias("_text"))
+        small_batches(docs).select(F.col(id_col), text.alias("_text"))
         .select(F.col(id_col), F.octet_length("_text").cast("long").alias("n_bytes"), tokens("_text").alias("n_tokens"))
         .withColumn("over_limit", F.col("n_tokens") > F.lit(limit))
     )
@@ -196,4 +207,4 @@ def token_budgets(docs: DataFrame, budgets: list[int], id_col: str = "doc_id", t
         return pd.DataFrame(rows, columns=["n_tokens", "cuts"])
 
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col), cuts(text).alias("_c")).select(id_col, "_c.n_tokens", "_c.cuts")
+    return small_batches(docs).select(F.col(id_col), cuts(text).alias("_c")).select(id_col, "_c.n_tokens", "_c.cuts")

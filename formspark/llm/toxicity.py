@@ -37,7 +37,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, small_batches
 
 #: The classifier is fitted on at most so many toxic and so many other labelled texts, by hash of the id.
 TOXIC_SAMPLE = 2_000
@@ -371,7 +371,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     order = [F.xxhash64(F.col(id_col).cast("string")), F.col(id_col)]
     taken = named.where("_y").orderBy(*order).limit(TOXIC_SAMPLE).unionAll(named.where(~F.col("_y")).orderBy(*order).limit(OTHER_SAMPLE))
     # the sample is bounded by its two limits, so it may be broadcast
-    sample = docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("_t")).join(F.broadcast(taken), id_col).select("_t", "_y")
+    sample = small_batches(docs).select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("_t")).join(F.broadcast(taken), id_col).select("_t", "_y")
     sample = checkpointed(sample.distinct())
     toxic, clean = sample.where("_y").select("_t"), sample.where("not _y").select("_t")
     n_toxic, n_clean = toxic.count(), clean.count()
@@ -464,7 +464,7 @@ def score_texts(docs: DataFrame, model: Model, keep: list[str], text_col: str =
         scores = model.score(np.array([model.evidence(n, hits) for n, hits in got]))
         return pd.DataFrame({"score": scores, "n_matches": [len(h) for _, h in got], "terms": [",".join(sorted({t for _, t, *_ in h})) for _, h in got]})
 
-    out = docs.select(*keep, scored(F.col(text_col)).alias("_s"))
+    out = small_batches(docs).select(*keep, scored(F.col(text_col)).alias("_s"))
     return out.select(*keep, F.col("_s.score").alias("score"), (F.col("_s.score") >= THRESHOLD).cast("int").alias("predicted"), "_s.n_matches", "_s.terms")
 
 
