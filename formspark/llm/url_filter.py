@@ -70,12 +70,12 @@ def url_filter(
     shape = kept.agg(
         F.count("*").alias("n"), F.max(F.size(F.split("host", r"\."))).alias("labels"), F.sort_array(F.collect_set(F.length("path"))).alias("lengths")
     ).first()
-    rid, host, path = fresh("row"), fresh("host"), fresh("path")
-    urls = pages.select(
-        F.monotonically_increasing_id().alias(rid),
-        F.col(id_col),
-        F.coalesce(host_of(F.col(url_col)), F.lit("")).alias(host),
-        F.coalesce(path_of(F.col(url_col)), F.lit("")).alias(path),
+    host, path = fresh("host"), fresh("path")
+    # a row is named by its values, which every evaluation of the input gives alike; equal rows are one with a number
+    urls = (
+        pages.select(F.col(id_col), F.coalesce(host_of(F.col(url_col)), F.lit("")).alias(host), F.coalesce(path_of(F.col(url_col)), F.lit("")).alias(path))
+        .groupBy(id_col, host, path)
+        .agg(F.count("*").cast("int").alias("_copies"))
     )
     labels, lengths = shape["labels"] or 1, shape["lengths"] or [0]
     parts = F.split(host, r"\.")
@@ -92,17 +92,20 @@ def url_filter(
     keyed = kept.select(
         F.concat("host", "path").alias("_rule"), F.col("verdict").alias("_verdict"), F.sha2(F.concat("host", "path"), 256).alias("_full")
     ).withColumn("_key", F.substring("_full", 1, SHORT))
+    # rules whose short digests agree, which few do, come in one row
+    keyed = keyed.groupBy("_key").agg(F.collect_list(F.struct("_full", "_rule", "_verdict")).alias("_rules"))
     if shape["n"] <= BROADCAST_RULES:
         joined = wide.join(F.broadcast(keyed), F.col("_short") == F.col("_key"), "left")
     else:
         salted = keyed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        wide = wide.withColumn("_s", F.pmod(F.col(rid), F.lit(SALTS)).cast("int"))
+        wide = wide.withColumn("_s", F.pmod(F.xxhash64(id_col, host, path), F.lit(SALTS)).cast("int"))
         joined = wide.join(salted, (F.col("_short") == F.col("_key")) & (F.col("_s") == F.col("_salt")), "left")
-    fits = F.col("_digest") == F.col("_full")
-    best = F.max(F.when(fits, F.struct(F.length("_rule").alias("n"), F.col("_verdict").alias("verdict"), F.col("_rule").alias("rule"))))
+    fits = F.filter(F.coalesce("_rules", F.array()), lambda r: r["_full"] == F.col("_digest"))
+    best = F.max(F.array_max(F.transform(fits, lambda r: F.struct(F.length(r["_rule"]).alias("n"), r["_verdict"].alias("verdict"), r["_rule"].alias("rule")))))
     return (
-        joined.groupBy(rid, id_col, host, path)
-        .agg(best.alias("_best"))
+        joined.groupBy(id_col, host, path)
+        .agg(best.alias("_best"), F.first("_copies").alias("_copies"))
+        .select("*", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy"))
         .select(
             F.col(id_col),
             F.col(host).alias("host"),
