@@ -10,7 +10,9 @@ estimate of the resemblance of their sets of shingles.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import itertools
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import let, partitions
@@ -22,6 +24,11 @@ LOW_BITS = 4
 _REST = (1 << (64 - BIN_BITS)) - 1
 _PER_WORD = 64 // LOW_BITS
 _WORDS = BINS // _PER_WORD
+#: rows of a range, as long as there are no more ranges than this or than shuffle partitions
+ROWS = 20_000
+MOST_RANGES = 4_096
+#: cuts that a row is compared with at once
+FAN = 64
 #: attempts of densification are made in growing rounds, as an expression cannot stop in the middle of one
 _ROUNDS = ((1, 4), (5, 16), (17, 64))
 
@@ -103,41 +110,74 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col), F.length(text).cast("long").alias("n_chars"), as_text(fingerprint(text)).alias("fingerprint"))
 
 
+def _constants(values: list[int]) -> Column:
+    """A constant array of integers; one string of the plan in place of a literal each."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>") if values else F.expr("cast(array() as array<bigint>)")
+
+
+def _below(cuts: list[int], key: Column) -> Column:
+    """How many of the sorted cuts are below the key, in a few blocks of FAN comparisons."""
+    if len(cuts) <= FAN:
+        return F.size(F.filter(_constants(cuts), lambda c: c < key))
+    block = F.greatest(_below(cuts[::FAN], key) - 1, F.lit(0))
+    return let(block, lambda b: b * FAN + F.size(F.filter(F.slice(_constants(cuts), b * FAN + 1, FAN), lambda c: c < key)))
+
+
+def _cuts(keys: DataFrame, n: int) -> list[int]:
+    """n - 1 quantiles at most; the driver gets one number for each range."""
+    got = keys.agg(F.percentile_approx("k", [k / n for k in range(1, n)], 20 * n).alias("cuts")).first()["cuts"] if n > 1 else None
+    return sorted(set(got or []))
+
+
+def _labels(spark: SparkSession, n: int) -> list[int]:
+    """A number for each of n partitions that hash partitioning puts there, so that no task gets two ranges."""
+    tried = spark.range(30 * n + 100).select(F.col("id").alias("x"), F.pmod(F.hash("id"), F.lit(n)).alias("p"))
+    found = {r["p"]: r["x"] for r in tried.groupBy("p").agg(F.min("x").alias("x")).collect()}
+    spare = itertools.count(30 * n + 100)
+    return [found[k] if k in found else next(spare) for k in range(n)]
+
+
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of every text, of its edited text, and how alike these and the next text's are.
 
-    The next document is that of the next smaller id, after the last the first; repeated ids follow
-    each other by text, and null ids come last.  The edited text has its last floor(n_chars / 3)
-    code points replaced by the first as many of the next document.  Null texts are empty; a
-    single document is its own next one.  Other columns of docs are not read.
+    Ids are integers.  The next document is that of the next smaller id, after the last the first;
+    repeated ids follow each other by text, and null ids come last, by a hash of their texts and these.
+    The edited text has its last floor(n_chars / 3) code points replaced by the first as many of the
+    next document.  Null texts are empty; a single document is its own next one.  Other columns of
+    docs are not read.
 
-    Documents are dealt into ranges of ids, and the first of each range goes to the range above it as
-    well, so each looks up the next within its range and no range is larger than another by much.
+    Documents are dealt into ranges of ids (of hashes where the id is null) of some ROWS rows, each a
+    partition of its own, and the first of each range goes to the range above it as well, so each looks
+    up the next within its range and no range is larger than another by much.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    low = F.lit(-(1 << 63))
-    key = F.coalesce(F.col(id_col).cast("long"), low)
-    n = max(partitions(docs.sparkSession), 2)
-    shares = [k / n for k in range(1, n)]
-    # one number for each range: never more than there are partitions
-    cuts = docs.select(key.alias("k")).agg(F.percentile_approx("k", shares, 20 * n).alias("cuts")).first()["cuts"] or []
-    cuts = sorted(set(cuts))
-    # the number of cuts below the id
-    bucket = F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in cuts]), lambda c: c < key)) if cuts else F.lit(0)
-    heads = sorted((r["b"], r["k"]) for r in docs.select(bucket.alias("b"), key.alias("k")).groupBy("b").agg(F.max("k").alias("k")).collect())
-    # the first id of a range also goes to the next range above; that of the highest, to the lowest
-    above = {k: heads[(i + 1) % len(heads)][0] for i, (_, k) in enumerate(heads)}
-    extra = F.lit(None).cast("int")
-    if above:
-        extra = F.get(F.map_values(F.map_filter(F.create_map(*[x for k, b in above.items() for x in (F.lit(k).cast("long"), F.lit(b))]), lambda k, _: k == key)), F.lit(0))
-    base = docs.select(
-        key.alias("_key"), F.col(id_col).alias("_id"), text.alias("_text"), fingerprint(text).alias("_print"), bucket.alias("_own"), extra.alias("_extra")
-    )
-    dealt = base.withColumn(
-        "_at", F.explode(F.when(F.col("_extra").isNull(), F.array(F.struct(F.col("_own").alias("b"), F.lit(0).alias("ghost")))).otherwise(
-            F.array(F.struct(F.col("_own").alias("b"), F.lit(0).alias("ghost")), F.struct(F.col("_extra").alias("b"), F.lit(1).alias("ghost")))))
-    ).select("_key", "_id", "_text", "_print", "_at.b", "_at.ghost")
-    order = Window.partitionBy("b").orderBy("ghost", F.col("_key").desc(), F.col("_id").isNull(), F.col("_text"))
+    spark, text, n_parts = docs.sparkSession, F.coalesce(F.col(text_col), F.lit("")), partitions(docs.sparkSession)
+    no_id, named = F.col(id_col).isNull(), F.col(id_col).cast("long")
+    size = docs.agg(F.count("*").alias("n"), F.count_if(no_id).alias("nulls")).first()
+    ranges = max(n_parts, min(size["n"] // ROWS, MOST_RANGES), 2)
+    share = size["nulls"] / max(size["n"], 1)
+    # ids take the ranges from 0 up, rows without one those below 0
+    cuts = _cuts(docs.where(~no_id).select(named.alias("k")), max(1, round(ranges * (1 - share))))
+    key, own = named, _below(cuts, named)
+    if size["nulls"]:
+        hashed = F.xxhash64(text)
+        more = _cuts(docs.where(no_id).select(hashed.alias("k")), max(1, round(ranges * share)))
+        key, own = F.when(no_id, hashed).otherwise(named), F.when(no_id, _below(more, hashed) - len(more) - 1).otherwise(own)
+    heads = sorted((r["b"], r["k"]) for r in docs.select(own.alias("b"), key.alias("k")).groupBy("b").agg(F.max("k").alias("k")).collect())
+    # by its number from the lowest: a range's first key, and the label of its partition
+    lowest = heads[0][0] if heads else 0
+    place, firsts = {b: i for i, (b, _) in enumerate(heads)}, dict(heads)
+    numbers = range(lowest, heads[-1][0] + 1) if heads else []
+    labels = _labels(spark, max(len(heads), 1))
+    at = lambda values: F.get(_constants(values), F.col("_own") - lowest)
+    label = at([labels[place[b]] if b in place else 0 for b in numbers])
+    above = at([labels[(place[b] + 1) % len(heads)] if b in place else 0 for b in numbers])
+    first = at([firsts.get(b, 0) for b in numbers])
+    base = docs.select(key.alias("_key"), F.col(id_col).alias("_id"), text.alias("_text"), fingerprint(text).alias("_print"), own.alias("_own"))
+    copies = F.array(F.struct(label.alias("at"), F.lit(0).alias("ghost")))
+    # the first of a range goes to the next range above as well, that of the highest to the lowest
+    dealt = base.withColumn("_at", F.explode(F.when(F.col("_key") == first, F.concat(copies, F.array(F.struct(above.alias("at"), F.lit(1).alias("ghost"))))).otherwise(copies)))
+    dealt = dealt.select("_key", "_id", "_text", "_print", "_at.at", "_at.ghost").repartition(max(len(heads), 1), "at")
+    order = Window.partitionBy("at").orderBy("ghost", F.col("_key").desc(), F.col("_text"))
     paired = dealt.select("*", F.lead("_text").over(order).alias("_next"), F.lead("_print").over(order).alias("_next_print")).where("ghost = 0")
     chars = F.length("_text")
     cut = F.floor(chars / 3).cast("int")
