@@ -5,7 +5,8 @@ held-out third).  Candidates are words and word beginnings.  A candidate counts
 neighbourhood it stands in, so that the ordinary words of a copied passage, which have the same
 neighbours in every copy, find no support.  It becomes a term if it is so much more frequent in toxic
 texts that none of all candidates would be by chance.  A term is a whole word, or a stem that any
-ending may follow; frequent words with a stem are terms too and belong to the stem's family.
+ending may follow; frequent words with a short stem, which must match exactly, are terms too and belong
+to the stem's family.
 
 Matching.  The terms form a trie.  Each distinct word is run through it by the bit-parallel form of
 its Levenshtein automaton: state sets for 0, 1 and 2 errors advance along the trie's edges, and a
@@ -77,7 +78,7 @@ SECOND = frozenset("you your yours youre u ur du dich dir dein deine tu te toi t
 
 def errors_allowed(term: str, stem: bool) -> int:
     if stem:
-        return 1 if len(term) >= 8 else 0
+        return 1 if len(term) >= 6 else 0
     return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
 
 
@@ -99,14 +100,30 @@ class Trie:
                 node = node[0].setdefault(c, [{}, []])
             node[1].append((term, stem, k))
         self.most = max(allowed.values(), default=0)
-        # k errors leave one of k + 1 pieces of a term as it is, so a word with no piece of any term matches none
-        pieces = {t[len(t) * i // (k + 1) : len(t) * (i + 1) // (k + 1)] for (t, _), k in allowed.items() for i in range(k + 1)}
-        least = sorted((p for p in pieces if not any(q != p and q in p for q in pieces)), key=lambda p: (len(p), p))
-        self.piece = re.compile("|".join(map(re.escape, least))).search if least else lambda _: None
+        # k errors leave one of k + 1 pieces of a term as it is, shifted by k at most
+        self.pieces: dict[str, list[tuple[int, int, int, float]]] = {}
+        for (t, stem), k in allowed.items():
+            for i in range(k + 1):
+                a, z = len(t) * i // (k + 1), len(t) * (i + 1) // (k + 1)
+                place = (a - k, a + k, len(t) - k, math.inf if stem else len(t) + k)
+                of = self.pieces.setdefault(t[a:z], [])
+                if place not in of:
+                    of.append(place)
+        self.sizes = sorted({len(p) for p in self.pieces})
+
+    def may_match(self, word: str) -> bool:
+        """Whether a piece of a term is at its place in the word; without one no term accepts it."""
+        n, get = len(word), self.pieces.get
+        for size in self.sizes:
+            for at in range(n - size + 1):
+                places = get(word[at : at + size])
+                if places and any(a <= at <= z and least <= n <= most for a, z, least, most in places):
+                    return True
+        return False
 
     def match(self, word: str) -> tuple[str, int] | None:
         """The term with the fewest errors that accepts the word, and its errors; ties: the longest, then the first."""
-        if not self.piece(word):
+        if not self.may_match(word):
             return None
         masks: dict[str, int] = {}
         for i, c in enumerate(word):
@@ -325,7 +342,7 @@ def learn_terms(support: dict[Part, tuple[int, int]], others: dict[Part, tuple[i
         near = [p for p in left if gains[p] >= 0.97 * gains[best] and (p[0].startswith(best[0]) or best[0].startswith(p[0]))]
         best = max(near, key=lambda p: (not p[1], len(p[0]), p[0]))
         terms.append((*best, best[0]))
-        if best[1]:
+        if best[1] and not errors_allowed(*best):
             terms += [(w, False, best[0]) for w, stem in sorted(gains) if not stem and w.startswith(best[0])]
         left = {p for p in left if not (p[0].startswith(best[0]) or best[0].startswith(p[0]))}
     return terms

@@ -27,7 +27,7 @@ def test_automaton_is_edit_distance():
     rng = random.Random(3)
     word = lambda a, z: "".join(rng.choice("abc") for _ in range(rng.randint(a, z)))
     for _ in range(5):
-        terms = {word(3, 11): rng.random() < 0.3 for _ in range(12)}
+        terms = {word(3, 13): rng.random() < 0.3 for _ in range(12)}
         trie = tox.Trie(terms)
         for _ in range(300):
             w, best = word(0, 12), None
@@ -39,15 +39,16 @@ def test_automaton_is_edit_distance():
             assert (got and (got[1], got[0])) == (best and (best[0], best[2]))
 
 
-def test_misspellings_of_an_inflected_term(spark, prose):
+@pytest.mark.parametrize("stem", ["grobel", "groby"])
+def test_misspellings_of_an_inflected_term(spark, prose, stem):
     rng = random.Random(21)
-    forms = ["grobel", "grobels", "grobelish"]
+    forms = [stem, f"{stem}s", f"{stem}ish"]
     text = lambda w: f"{prose(rng, 20)} you {w} {prose(rng, 20)}"
     rows = [(i, text(forms[i % 3]), 1) for i in range(120)] + [(200 + i, prose(rng, 40), 0) for i in range(300)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
     model = tox.fit(docs, docs)
-    assert {(f, False, "grobel") for f in forms} | {("grobel", True, "grobel")} <= set(model.terms)
-    wrong = ["grabel", "gobel", "grovels", "grobelihs", "grobels", "grobely"]
+    assert (stem, True, stem) in model.terms and ({(f, False, stem) for f in forms} <= set(model.terms)) == (len(stem) < 6)
+    wrong = {"grobel": ["grabel", "gobel", "grovels", "grobelihs", "grobels", "grobely"], "groby": ["graby", "goby", "grovys", "grobyihs", "grobys", "grobyly"]}[stem]
     seen = spark.createDataFrame([(i, text(w)) for i, w in enumerate(wrong)] + [(100, prose(rng, 40))], "doc_id long, text string")
     got = {r.doc_id: r.predicted for r in tox.score_texts(seen, model, ["doc_id"]).collect()}
     assert got == {i: 1 for i in range(len(wrong))} | {100: 0}
@@ -173,6 +174,32 @@ def test_fingerprints(spark, prose):
     assert rows[999].fingerprint == rows[0].fingerprint and len(rows[0].fingerprint) == 256
 
 
+def test_ranges_of_ids_and_of_rows_without_one(spark, prose, monkeypatch):
+    """Many small ranges, and a third of all rows without an id: each row's next one by the definition."""
+    monkeypatch.setattr(fp, "ROWS", 3)
+    monkeypatch.setattr(fp, "FAN", 4)
+    rng = random.Random(41)
+    rows = [(rng.randint(-(10**12), 10**12), prose(rng, 12)) for _ in range(200)] + [(None, prose(rng, 12)) for _ in range(100)] + [(None, "same text"), (None, "same text"), (7, "x"), (7, "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    from pyspark.sql import functions as F
+
+    hashed = {r.text: r.h for r in df.select("text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted((r for r in rows if r[0] is not None), key=lambda r: (-r[0], r[1])) + sorted((r for r in rows if r[0] is None), key=lambda r: (-hashed[r[1]], r[1]))
+    want = []
+    for k, (i, text) in enumerate(order):
+        after, cut = order[(k + 1) % len(order)][1], len(text) // 3
+        want.append((i, hashlib.sha256((text[: len(text) - cut] + after[:cut]).encode()).hexdigest()))
+    got = fp.edited_fingerprints(df)
+    assert sorted(((r.doc_id, r.edited_sha256) for r in got.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_number_of_cuts_below(spark, monkeypatch):
+    monkeypatch.setattr(fp, "FAN", 3)
+    cuts = sorted(random.Random(42).sample(range(1000), 100))
+    got = spark.range(-2, 1003).select("id", fp._below(cuts, __import__("pyspark").sql.functions.col("id")).alias("n")).collect()
+    assert all(r.n == sum(c < r.id for c in cuts) for r in got)
+
+
 def test_fingerprints_odd_rows(odd_docs, no_docs):
     rows = fp.edited_fingerprints(odd_docs).collect()
     assert len(rows) == 10 and all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in rows)
