@@ -293,7 +293,7 @@ def fit_rates(members: DataFrame, targets: dict[str, float] | None = None) -> Ra
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, tokens, p_low, p_toxic, p_good, rate, and gap of the fit.
+    """One row per input row (ids of any type): id, tokens, p_low, p_toxic, p_good, rate, and gap of the fit.
 
     Repeated rows each get a row and a rate of their own, the same for each; null and empty texts
     have no tokens and the rate 1; without labels every membership is uniform.

@@ -238,7 +238,7 @@ def links(nodes: DataFrame, bits: int = MAX_BITS) -> DataFrame:
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = MAX_BITS) -> DataFrame:
     """One row per input row: the id, ``fingerprint`` (16 hex digits) and ``component_id``.
 
-    component_id is the smallest id that links of at most ``bits`` differing bits reach, the row's own
+    Ids are integers.  component_id is the smallest id that links of at most ``bits`` differing bits reach, the row's own
     included.  Texts that are null or without words have the fingerprint zero and are linked like any
     other.  Rows with a null id are kept; their group takes the smallest id that is not null.
     Repeated rows stay repeated; other columns of docs are not read.

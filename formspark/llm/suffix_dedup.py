@@ -48,7 +48,9 @@ GATHER = 700_000
 GATHER_CONTEXTS = 150_000
 #: rows whose results are made at a time
 ROWS = 1_000
-#: range buckets for each shuffle partition; a task holds one bucket at a time
+#: bytes of text for each bucket; a task holds one bucket at a time
+BUCKET_BYTES = 16_000_000
+#: range buckets for each bucket of hashes
 BUCKETS = 4
 #: texts with more copies than this share of all documents (one in so many), and over 1000, are broadcast
 MOST_COPIED = 1000
@@ -188,19 +190,34 @@ def _send_anchors(buckets: int):
 _SHARED = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("pos", pa.int32())])
 
 
-def _shared_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Packed anchors of whole buckets to (id, th, pos) of those whose gram is in two documents."""
+def _one_by_one(handle):
+    """Rows of buckets, each in one run, to what ``handle`` makes of the rows of each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows = None, []
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["bucket"] != now and rows:
+                    yield from handle(rows)
+                    rows = []
+                now = r["bucket"]
+                rows.append(r)
+        if rows:
+            yield from handle(rows)
+
+    return run
+
+
+def _shared_anchors(bucket: list[dict]) -> Iterator[pa.RecordBatch]:
+    """Packed anchors of one bucket to (id, th, pos) of those whose gram is in two documents."""
     docs, parts, base = [], [], 0
-    for batch in batches:
-        for r in batch.to_pylist():
-            ids, ths = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["ths"], np.int64)
-            g = sum(np.frombuffer(r[c], np.uint16).astype(np.uint64) << np.uint64(s) for c, s in (("h0", 0), ("h1", 16), ("h2", 32)))
-            pos = np.frombuffer(r["lo"], np.uint16).astype(np.int32) | np.frombuffer(r["hi"], np.uint16).astype(np.int32) << 16
-            parts.append((np.frombuffer(r["doc"], np.uint32) + np.uint32(base), g, pos, np.frombuffer(r["known"], np.uint8)))
-            docs.append((ids, ths))
-            base += len(ids)
-    if not parts:
-        return
+    for r in bucket:
+        ids, ths = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["ths"], np.int64)
+        g = sum(np.frombuffer(r[c], np.uint16).astype(np.uint64) << np.uint64(s) for c, s in (("h0", 0), ("h1", 16), ("h2", 32)))
+        pos = np.frombuffer(r["lo"], np.uint16).astype(np.int32) | np.frombuffer(r["hi"], np.uint16).astype(np.int32) << 16
+        parts.append((np.frombuffer(r["doc"], np.uint32) + np.uint32(base), g, pos, np.frombuffer(r["known"], np.uint8)))
+        docs.append((ids, ths))
+        base += len(ids)
     ids, ths = map(np.concatenate, zip(*docs))
     doc, g, pos, known = map(np.concatenate, zip(*parts))
     keep = known > 0
@@ -366,24 +383,11 @@ def least_ids(ctx: np.ndarray, low: np.ndarray) -> np.ndarray:
 _MARKS = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("mark", pa.int64())])
 
 
-def _bucket_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Range buckets, each in one run of rows, to (id, th, mark) of places with a window that starts in a smaller id.
+def _bucket_marks(bucket: list[dict]) -> Iterator[pa.RecordBatch]:
+    """A range bucket to (id, th, mark) of places with a window that starts in a smaller id.
 
     A mark is the place and, in the low bits, the windows.
     """
-    now, rows = None, []
-    for batch in batches:
-        for r in batch.to_pylist():
-            if r["bucket"] != now and rows:
-                yield from _marks_of(rows)
-                rows = []
-            now = r["bucket"]
-            rows.append(r)
-    if rows:
-        yield from _marks_of(rows)
-
-
-def _marks_of(bucket: list[dict]) -> Iterator[pa.RecordBatch]:
     contexts, counts, ids, ths, places = [], [], [], [], []
     for r in bucket:
         data = pa.decompress(r["data"], decompressed_size=r["n"], codec="zstd", asbytes=True)
@@ -478,26 +482,27 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per input row: id, n_bytes, n_removed, n_spans, kept_sha256; with ``keep`` also kept_text.
 
     n_spans counts maximal runs of removed bytes; kept_sha256 is of the remaining bytes concatenated.
-    A null text is empty, texts under 50 bytes lose nothing, and matches never cross documents.  Of
+    Ids are integers.  A null text is empty, texts under 50 bytes lose nothing, and matches never cross documents.  Of
     rows that share an id none is before the other, so repeated rows stay alike and keep each other;
     rows with a null id come after all others.  Other columns of docs are not read, but for those
     that ``keep`` names: they are returned, and kept_text is then the text without all removed
     characters (a character goes when all its bytes do).
     """
-    row = F.struct(*[F.col(c) for c in keep]) if keep else F.lit(0)
+    row = F.struct(F.col(id_col).isNull().alias("_none"), *[F.col(c) for c in keep or [] if c != id_col])
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = small_batches(docs).select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("th"), text.alias("text"), row.alias("row"))
 
-    # 1. anchors whose gram is in two documents
-    buckets = max(partitions(docs.sparkSession), 1)
+    # 1. anchors whose gram is in two documents; buckets grow in number with the bytes of all texts, not in size
+    n, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.col(text_col)).cast("long")), F.lit(0))).first()
+    buckets = max(partitions(docs.sparkSession), -(-size // BUCKET_BYTES), 1)
     sent = base.select("id", "th", "text").mapInArrow(_send_anchors(buckets), ANCHORS)
-    shared = sent.repartition(buckets, "bucket").mapInArrow(_shared_anchors, "id long, th long, pos int")
+    shared = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_one_by_one(_shared_anchors), "id long, th long, pos int")
     shared = checkpointed(shared.groupBy("id", "th").agg(F.collect_list("pos").alias("at")))
 
     # 2. the first of each group of equal texts; copies need no contexts of their own
     narrow = base.select("id", "th", F.sha2("text", 256).alias("sha"))
-    first = _first_copies(narrow, docs.count())
-    whole = base.repartition("id", "th")
+    first = _first_copies(narrow, n)
+    whole = base.repartition(buckets, "id", "th")
     ones = shared.join(first.where(F.col("id") == F.col("first")), ["id", "th"]).select("id", "th", "at")
     # 3. range buckets of contexts; the sample for the splitters is bounded by the number of buckets
     ranges = BUCKETS * buckets
@@ -505,13 +510,13 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     sample = base.select("id", "th", "text").join(F.broadcast(shared.limit(docs_sampled)), ["id", "th"])
     grams = sorted(r["gram"] for r in sample.select("text", "at").mapInArrow(_sampled_grams, "gram binary").toLocalIterator())
     splitters = sorted({bytes(grams[k * len(grams) // ranges]) for k in range(1, ranges)}) if grams else []
-    contexts = whole.join(ones.hint("shuffle_hash"), ["id", "th"]).select("id", "th", "text", "at").mapInArrow(_send_contexts(splitters), CONTEXTS)
-    marks = contexts.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_bucket_marks, "id long, th long, mark long")
+    contexts = whole.join(ones, ["id", "th"]).select("id", "th", "text", "at").mapInArrow(_send_contexts(splitters), CONTEXTS)
+    marks = contexts.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_one_by_one(_bucket_marks), "id long, th long, mark long")
 
     # 4. marks back to their documents
     marks = marks.groupBy("id", "th").agg(F.collect_list("mark").alias("marks"))
-    joined = whole.join(first.hint("shuffle_hash"), ["id", "th"]).join(marks.hint("shuffle_hash"), ["id", "th"], "left").select("id", "text", "first", "marks", "row")
+    joined = whole.join(first.join(marks, ["id", "th"], "left"), ["id", "th"]).select("id", "text", "first", "marks", "row")
     result = StructType.fromDDL("id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string").add(joined.schema["row"])
-    out = joined.mapInArrow(_results(bool(keep)), result).withColumn(id_col, F.when(F.col("id") != NO_ID, F.col("id")))
+    out = joined.mapInArrow(_results(bool(keep)), result).withColumn(id_col, F.when(~F.col("row")["_none"], F.col("id")))
     columns = [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256"]
     return out.select(*columns, "kept_text", *[F.col("row")[c].alias(c) for c in keep if c != id_col]) if keep else out.select(*columns)

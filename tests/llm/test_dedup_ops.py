@@ -75,6 +75,8 @@ def test_multikey_quicksort():
 def test_suffix_odd_rows(spark, odd_docs, no_docs):
     got = {r.doc_id: r for r in suf.suffix_dedup(odd_docs).collect()}
     assert len(got) == 9 and suf.suffix_dedup(odd_docs).count() == 10 and suf.suffix_dedup(no_docs).count() == 0
+    last = suf.suffix_dedup(odd_docs.selectExpr("coalesce(doc_id, 9223372036854775807) as doc_id", "text"))
+    assert {r.doc_id for r in last.collect()} == {1, 2, 3, 4, 5, 6, 7, 8, (1 << 63) - 1}
     assert got[1].n_bytes == 0 and got[5].n_removed == 0 and got[6].n_bytes - got[6].n_removed <= 50 and got[None].n_removed == 0
     kept_rows = suf.suffix_dedup(odd_docs, keep=["doc_id", "text", "lang", "score", "id"]).collect()
     assert len(kept_rows) == 10 and {r.id for r in kept_rows if r.doc_id == 1} == {"a"}
@@ -158,6 +160,22 @@ def test_components(spark):
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_rows_of_a_hub_stay_apart(spark, monkeypatch):
+    """A node with nearly all rows: its rows are not gathered in one task."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(graph, "HEAVY", 500)
+    monkeypatch.setattr(graph, "HUBS", 100)
+    n = 20_000
+    seen = spark.range(1, n + 1, 1, 8).select(F.lit(0).cast("long").alias("u"), F.col("id").alias("v")).unionAll(spark.range(1, n, 1, 8).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v")))
+    least = seen.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    linked = graph._linked(seen, least, seen.count())
+    sizes = [r["count"] for r in linked.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == seen.count() and max(sizes) < n / 2
+    got = graph.components(seen.select(F.col("u").alias("a"), F.col("v").alias("b")))
+    assert got.count() == n + 1 and got.where("component <> 0").count() == 0
+
+
 def test_simhash_odd_rows(odd_docs, no_docs):
     rows = sim.simhash_components(odd_docs).collect()
     assert len(rows) == 10 and {r.component_id for r in rows if r.doc_id in (1, 2, 3)} == {1}

@@ -4,6 +4,7 @@ import os
 import random
 
 import duckdb
+import numpy as np
 import pytest
 
 from formspark.llm import chat, mixing, queries, url_filter
@@ -107,6 +108,48 @@ def test_mixing_meets_targets(mixed):
     assert sum(r.p_toxic > 0.5 for r in got if r.doc_id in toxic) > 0.9 * len(toxic)
 
 
+def test_rates_are_the_least_squares_solution(spark):
+    """An independent solver of min sum t (r - 1)^2 with the same totals and r >= 0, by Newton's method on its dual."""
+    rng = np.random.default_rng(5)
+    p = rng.dirichlet([0.15, 0.1, 0.9], 3000)
+    t = rng.integers(0, 900, 3000)
+    rows = [(int(a), *map(float, q)) for a, q in zip(t, p)]
+    members = spark.createDataFrame(rows, "tokens long, p_low double, p_toxic double, p_good double")
+    rates = mixing.fit_rates(members)
+    got = np.array([r.rate for r in members.select(rates.column().alias("rate")).collect()])
+    goal = np.array([0.05, 0.01, 0.94]) * t.sum()
+    dual = np.zeros(3)
+    for _ in range(200):
+        r = np.maximum(0, 1 - p @ dual)
+        w = np.where(r > 0, t, 0)
+        dual += 0.5 * np.linalg.solve((p.T * w) @ p + 1e-6 * np.eye(3), p.T @ (r * t) - goal)
+    want = np.maximum(0, 1 - p @ dual)
+    assert np.abs(p.T @ (want * t) - goal).max() < 1e-6 * t.sum() and rates.gap <= mixing.TOLERANCE and len(rates.steps) < 8
+    assert np.abs(p.T @ (got * t) - goal).max() <= mixing.TOLERANCE * t.sum()
+    assert np.abs(got - want)[t > 0].max() < 0.02 and (got[t == 0] == 1).all()
+
+
+def test_rates_that_cannot_be_met_are_reported(spark):
+    members = spark.createDataFrame([(100, 0.0, 0.0, 1.0), (50, 0.5, 0.0, 0.5)], "tokens long, p_low double, p_toxic double, p_good double")
+    with pytest.warns(UserWarning, match="miss their targets"):
+        rates = mixing.fit_rates(members, {"low": 0.1, "toxic": 0.5, "good": 0.4})
+    assert rates.gap > 0.4
+
+
+def test_memberships_find_the_domains(spark):
+    """Held-out recall of every domain on the tables."""
+    from pyspark.sql import functions as F
+
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    held = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    got = mixing.memberships(docs, labels.where(~held)).join(labels.where(held), "doc_id")
+    kind = F.when(F.col("toxic") > 0, "toxic").when(F.col("quality") == 0, "low").otherwise("good")
+    found = F.when(F.col("p_toxic") > 0.5, "toxic").when(F.col("p_low") > 0.5, "low").when(F.col("p_good") > 0.5, "good")
+    loss = -F.log(F.when(kind == "toxic", F.col("p_toxic")).when(kind == "low", F.col("p_low")).otherwise(F.col("p_good")))
+    rows = {r.k: r for r in got.select(kind.alias("k"), found.alias("f"), loss.alias("l")).groupBy("k").agg(F.count("*").alias("n"), F.count_if(F.col("f") == F.col("k")).alias("right"), F.sum("l").alias("loss")).collect()}
+    assert all(r.right >= 0.9 * r.n for r in rows.values()) and sum(r.loss for r in rows.values()) / sum(r.n for r in rows.values()) < 0.15
+
+
 def test_mixing_is_native(mixed):
     plan = mixing.memberships(*mixed)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
