@@ -72,11 +72,14 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with tokens, domain memberships and the rate at which to take them."""
-    keyed = docs.withColumn("_key", row_key())
-    members = memberships(keyed, table(spark, sf_dir, "labels"))
-    rated = fit_rates(checkpointed(members.select("_key", "tokens", "p_low", "p_toxic", "p_good")))
-    return keyed.join(rated.dropDuplicates(["_key"]), "_key", "left").drop("_key")
+    """The documents with tokens, domain memberships and the rate at which to take them.
+
+    The rates are fitted on tokens and memberships alone; a rate follows from its row's memberships, so
+    the texts go nowhere.
+    """
+    members = memberships(docs.select(*COLUMNS), table(spark, sf_dir, "labels"))
+    rates = fit_rates(checkpointed(members.select("tokens", "p_low", "p_toxic", "p_good")))
+    return members.select("*", rates.column().alias("rate"))
 
 
 STAGES = [
