@@ -1,10 +1,12 @@
 """Chat formatting by quotation linking, in DataFrame expressions only.
 
 Lines that begin with ``>`` marks are quoted, one level for each mark.  A passage is a longest run of
-lines of one level.  Passages and their lines are normalised and hashed, and joined within the
-conversation to the first message that has the same paragraph or line as its own words.  The message a
-passage links to is the one that explains most of it; a reply's parent is the earliest passage's
-message of the lowest level.  Parents give every message a root and a depth, found by doubling the
+lines of one level.  Passages, their paragraphs and their lines are normalised and hashed, and joined
+within the conversation to the first message that has the same paragraph or line as its own words.  The
+message a passage links to is the one that explains most of it.  A passage that links to none so is an
+excerpt perhaps: its shingles of five words are joined in the same way, and a message that has at least
+0.8 of them first is the one.  A reply's parent is the earliest passage's message of the lowest level.
+Parents give every message a root and a depth, found by doubling the
 steps towards the root, and the messages of a conversation in the order of root, depth and turn
 are a conversation in which no reply comes before what it answers.
 """
@@ -19,6 +21,8 @@ from .common import checkpointed
 QUOTED = r"^\s*>"
 #: the line before a quotation that names its author
 ATTRIBUTION = r"(wrote|writes|said|schrieb|escribió|écrit)\s*:\s*$"
+#: words of a shingle, and the share of an excerpt's shingles that its message has
+SHINGLE, CONTAINED = 5, 0.8
 #: rounds of doubling: chains of up to 2 ** ROUNDS replies
 ROUNDS = 40
 
@@ -46,6 +50,13 @@ def unquoted(text: Column) -> Column:
     )
 
 
+def _shingles(text: Column) -> Column:
+    """Hashes of the distinct shingles of normalised words; none of fewer than five."""
+    words = F.split(text, " ")
+    each = F.transform(F.sequence(F.lit(0), F.size(words) - SHINGLE), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(SHINGLE)]))
+    return F.when(F.size(words) >= SHINGLE, F.array_distinct(each))
+
+
 def _keys(messages: DataFrame) -> DataFrame:
     """(conv, key, turn): the first turn that has a paragraph or line as its own words."""
     own = F.col("_own")
@@ -66,11 +77,27 @@ def _passages(messages: DataFrame) -> DataFrame:
     )
 
 
+def _excerpts(messages: DataFrame, passages: DataFrame) -> DataFrame:
+    """(row, no, origin) of passages whose shingles one earlier message has first, nearly all of them."""
+    wanted = passages.select("_row", "_conv", "_turn", "_no", _shingles(F.col("_whole")).alias("_s")).where("_s is not null")
+    each = wanted.select("_row", "_conv", "_turn", "_no", F.size("_s").alias("_n"), F.explode("_s").alias("_key"))
+    there = messages.join(wanted.select("_conv").distinct(), "_conv", "left_semi")
+    own = there.select("_conv", "_turn", F.explode(_shingles(_normal(F.regexp_replace("_own", "\n", " ")))).alias("_key"))
+    first = own.groupBy("_conv", "_key").agg(F.min("_turn").alias("_origin"))
+    votes = each.join(first, ["_conv", "_key"]).where("_origin < _turn").groupBy("_row", "_no", "_n", "_origin").agg(F.count("*").alias("_w"))
+    best = votes.where(F.col("_w") >= CONTAINED * F.col("_n")).groupBy("_row", "_no").agg(F.max(F.struct("_w", (-F.col("_origin")).alias("o"))).alias("_b"))
+    return best.select("_row", "_no", (-F.col("_b.o")).alias("_excerpt"))
+
+
 def quotation_links(messages: DataFrame) -> DataFrame:
     """Of each message row with quotations: their number, how many link, and the parent turn."""
-    passages = _passages(messages).withColumn("_norms", F.filter("_norms", lambda x: x != "")).withColumn("_whole", F.array_join("_norms", " "))
+    passages = _passages(messages).withColumn("_text", F.regexp_replace(F.array_join("_norms", "\n"), r"^\n+|\n+$", ""))
+    passages = passages.withColumn("_norms", F.filter("_norms", lambda x: x != "")).withColumn("_whole", F.array_join("_norms", " "))
+    passages = checkpointed(passages)
+    # a blank quoted line parts two paragraphs
     units = F.concat(
         F.array(F.struct(F.col("_whole").alias("n"), (F.size("_norms") + 1).alias("w"))),
+        F.transform(F.split("_text", r"\n\n+"), lambda x: F.struct(F.replace(x, F.lit("\n"), F.lit(" ")).alias("n"), F.size(F.split(x, r"\n")).alias("w"))),
         F.transform("_norms", lambda x: F.struct(x.alias("n"), F.lit(1).alias("w"))),
     )
     keyed = passages.select("_row", "_conv", "_turn", "_no", "_level", F.explode(units).alias("_u"))
@@ -79,7 +106,9 @@ def quotation_links(messages: DataFrame) -> DataFrame:
     votes = found.groupBy("_row", "_no", "_level", "_origin").agg(F.sum("_w").alias("_w"))
     # most of the passage; of equals the earlier message; nothing only if nothing is found
     best = votes.groupBy("_row", "_no", "_level").agg(F.max(F.when(F.col("_origin").isNotNull(), F.struct("_w", (-F.col("_origin")).alias("o")))).alias("_b"))
-    linked = best.withColumn("_origin", -F.col("_b.o"))
+    linked = checkpointed(best.select("_row", "_no", "_level", (-F.col("_b.o")).alias("_origin")))
+    rest = passages.join(linked.where("_origin is null").select("_row", "_no"), ["_row", "_no"], "left_semi")
+    linked = linked.join(_excerpts(messages, rest), ["_row", "_no"], "left").withColumn("_origin", F.coalesce("_origin", "_excerpt"))
     return linked.groupBy("_row").agg(
         F.count("*").alias("n_quotes"), F.count("_origin").alias("n_linked"),
         F.min(F.when(F.col("_origin").isNotNull(), F.struct("_level", "_no", "_origin"))).alias("_p"),

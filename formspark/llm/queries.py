@@ -55,7 +55,26 @@ def op10_url_filter(spark, sf_dir):
     return url_filter(table(spark, sf_dir, "pages"), rules_frame(spark))
 
 
+#: the conversations with quotations put in: attributed, nested, with other spaces and signs, excerpts, and of one message again and again
+_Q = "concat('> ', replace(%s, chr(10), concat(chr(10), '> ')))"
+QUOTED_REPLIES = f"""SELECT conv_id, turn, role, CASE WHEN turn = 0 OR p1 IS NULL THEN text
+  WHEN (conv_id + turn) % 6 = 0 THEN concat('Ann wrote:', chr(10), {_Q % 'p1'}, chr(10), text)
+  WHEN (conv_id + turn) % 6 = 1 AND p2 IS NOT NULL THEN concat(replace({_Q % 'p2'}, '> ', '>> '), chr(10), {_Q % 'p1'}, chr(10), chr(10), text)
+  WHEN (conv_id + turn) % 6 = 2 THEN concat({_Q % "replace(p1, ' ', ' , ')"}, ' !!', chr(10), text)
+  WHEN (conv_id + turn) % 6 = 3 THEN concat('> ', regexp_replace(substring(regexp_replace(replace(p1, chr(10), ' '), '^[^ ]+ [^ ]+ ', ''), 1, 90), ' [^ ]*$', ''), chr(10), text)
+  WHEN (conv_id + turn) % 6 = 4 THEN concat(text, chr(10), replace({_Q % 'p0'}, '. ', concat('.', chr(10), '> ')), chr(10), '> ', chr(10), {_Q % 'p1'})
+  ELSE text END AS text
+  FROM (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS p1, lag(text, 2) OVER (PARTITION BY conv_id ORDER BY turn) AS p2,
+        first_value(text) OVER (PARTITION BY conv_id ORDER BY turn) AS p0 FROM conversations) c"""
+
+
+def chat_quoted_replies(spark, sf_dir):
+    table(spark, sf_dir, "conversations").createOrReplaceTempView("conversations")
+    return link_quotations(spark.sql(QUOTED_REPLIES))
+
+
 QUERIES = {
+    "chat_quoted_replies": chat_quoted_replies,
     "op1_toxicity": op1_toxicity,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_fingerprints": op3_fingerprints,
@@ -87,15 +106,30 @@ leveled AS (
 marked AS (SELECT *, CASE WHEN lag(lv) OVER (PARTITION BY rid ORDER BY pos) IS DISTINCT FROM lv THEN 1 ELSE 0 END AS fresh FROM leveled),
 runs AS (SELECT *, sum(fresh) OVER (PARTITION BY rid ORDER BY pos) AS no FROM marked),
 passages AS (
-  SELECT rid, conv_id, turn, no, lv, list_filter(list(n ORDER BY pos), lambda x: x <> '') AS ns FROM runs WHERE lv > 0 GROUP BY rid, conv_id, turn, no, lv),
+  SELECT rid, conv_id, turn, no, lv, list_filter(list(n ORDER BY pos), lambda x: x <> '') AS ns,
+         regexp_replace(array_to_string(list(n ORDER BY pos), chr(10)), '^\n+|\n+$', '', 'g') AS txt FROM runs WHERE lv > 0 GROUP BY rid, conv_id, turn, no, lv),
+paragraphs AS (SELECT rid, conv_id, turn, no, lv, unnest(regexp_split_to_array(txt, '\n\n+')) AS p FROM passages),
 keyed AS (
   SELECT rid, conv_id, turn, no, lv, array_to_string(ns, ' ') AS n, len(ns) + 1 AS w FROM passages
+  UNION ALL SELECT rid, conv_id, turn, no, lv, replace(p, chr(10), ' '), len(string_split(p, chr(10))) FROM paragraphs
   UNION ALL SELECT rid, conv_id, turn, no, lv, unnest(ns), 1 FROM passages),
 votes AS (
   SELECT k.rid, k.no, k.lv, CASE WHEN origin < k.turn THEN origin END AS origin, sum(w) AS w
   FROM keyed k LEFT JOIN keys USING (conv_id, n) GROUP BY 1, 2, 3, 4),
-best AS (
+found AS (
   SELECT rid, no, lv, arg_max(origin, (w, -origin)) FILTER (WHERE origin IS NOT NULL) AS origin FROM votes GROUP BY rid, no, lv),
+wanted AS (
+  SELECT p.rid, p.conv_id, p.turn, p.no, string_split(array_to_string(ns, ' '), ' ') AS ws FROM passages p JOIN found f ON f.rid = p.rid AND f.no = p.no WHERE f.origin IS NULL),
+shingles AS (SELECT DISTINCT rid, conv_id, turn, no, array_to_string(ws[i:i + 4], ' ') AS s FROM (SELECT *, unnest(range(1, len(ws) - 3)) AS i FROM wanted WHERE len(ws) >= 5)),
+own_words AS (
+  SELECT conv_id, turn, string_split(trim(regexp_replace(regexp_replace(regexp_replace(lower(replace(own, chr(10), ' ')), '^(?:\s*>)+', ''), '[\p{P}\p{S}]+', ' ', 'g'), '\s+', ' ', 'g')), ' ') AS ws
+  FROM own WHERE conv_id IN (SELECT conv_id FROM wanted)),
+first_has AS (
+  SELECT conv_id, s, min(turn) AS origin FROM (SELECT conv_id, turn, array_to_string(ws[i:i + 4], ' ') AS s FROM (SELECT *, unnest(range(1, len(ws) - 3)) AS i FROM own_words WHERE len(ws) >= 5)) GROUP BY conv_id, s),
+sizes AS (SELECT rid, no, count(*) AS n FROM shingles GROUP BY rid, no),
+shares AS (SELECT g.rid, g.no, h.origin, count(*) AS w FROM shingles g JOIN first_has h ON h.conv_id = g.conv_id AND h.s = g.s AND h.origin < g.turn GROUP BY g.rid, g.no, h.origin),
+excerpts AS (SELECT rid, no, arg_max(origin, (w, -origin)) AS origin FROM shares JOIN sizes USING (rid, no) WHERE w >= 0.8 * n GROUP BY rid, no),
+best AS (SELECT f.rid, f.no, f.lv, coalesce(f.origin, e.origin) AS origin FROM found f LEFT JOIN excerpts e ON e.rid = f.rid AND e.no = f.no),
 links AS (
   SELECT rid, count(*) AS n_quotes, count(origin) AS n_linked, arg_min(origin, (lv, no)) FILTER (WHERE origin IS NOT NULL) AS parent FROM best GROUP BY rid),
 edges AS (
@@ -111,6 +145,7 @@ FROM own o LEFT JOIN links USING (rid) LEFT JOIN roots r ON r.conv_id = o.conv_i
 
 ORACLES = {
     "op8_chat_quotes": CHAT_SQL,
+    "chat_quoted_replies": CHAT_SQL.replace("FROM conversations", f"FROM ({QUOTED_REPLIES})"),
     "op10_url_filter": r"""
 WITH rules(verdict, rhost, rpath) AS (
   VALUES ('allow','com','/'), ('block','example.com','/en/'), ('allow','www.example.com','/en/'),

@@ -84,6 +84,31 @@ def test_chat(spark):
     assert sorted(repr(tuple(r[names.index(c)] for c in got.columns)) for r in result.fetchall()) == sorted(repr(tuple(r)) for r in got.collect())
 
 
+def test_quoted_replies_link(spark):
+    """Every kind of quotation that the query puts in finds its message; the green SQL is not of empty work."""
+    got = queries.QUERIES["chat_quoted_replies"](spark, SF).selectExpr("(conv_id + turn) % 6 AS kind", "turn", "n_quotes", "n_linked", "parent_turn", "depth")
+    rows = [r for r in got.collect() if r.turn]
+    assert max(r.depth for r in rows) >= 3
+    for kind, share in ((0, 1.0), (1, 1.0), (2, 1.0), (3, 0.8), (4, 1.0)):
+        of = [r for r in rows if r.kind == kind]
+        assert of and sum(r.n_linked for r in of) >= share * sum(r.n_quotes for r in of) > 0
+        assert all(r.parent_turn == r.turn - 1 for r in of if kind in (0, 2) and r.parent_turn is not None) or kind not in (0, 2)
+    assert all(not r.n_quotes for r in rows if r.kind == 5)
+
+
+EXCERPTS = [
+    (1, 0, "u", "one two three four five six seven eight nine ten\n\nalpha beta gamma\n\nlast words here"),
+    (1, 1, "u", "> one two three four\n> five six seven\n> eight nine ten\n>\n> alpha beta\n> gamma\nyes"),  # two of three paragraphs, wrapped anew
+    (1, 2, "u", "> three four five six seven eight\nsure"), (1, 3, "u", "> three four five six eleven twelve\nno"), (1, 4, "u", "> seven eight nine\ntoo few"),
+]
+
+
+def test_excerpts_and_paragraphs(spark):
+    df = spark.createDataFrame(EXCERPTS, "conv_id long, turn long, role string, text string")
+    rows = {r.turn: r for r in chat.link_quotations(df).collect()}
+    assert [rows[t].parent_turn for t in range(5)] == [None, 0, 0, None, None]
+
+
 @pytest.fixture(scope="module")
 def mixed(spark, prose):
     rng = random.Random(2)
