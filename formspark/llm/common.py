@@ -26,6 +26,15 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; only a local session may do without the setting."""
+    sc = spark.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir")
+    if not folder and not sc.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (folder or os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "checkpoints")).rstrip("/")
+
+
 #: Spark then drops the shuffle files of an execution when it ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -33,15 +42,14 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage with reliable files in the cluster's shared spark.checkpoint.dir.
 
-    Where the setting is absent (tests, a local session) a folder below the warehouse is used.  Once
+    Where the setting is absent in a local session (tests) a folder below the warehouse is used.  Once
     the files are written nothing reads the shuffles behind them again, so these go at once and do
     not wait on the executors' disks for the driver to collect its garbage.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        shared = sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(shared or os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "checkpoints"))
+        sc.setCheckpointDir(shared_folder(spark))
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:

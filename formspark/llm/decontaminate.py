@@ -40,6 +40,8 @@ TABLES = 13
 SAMPLES = 2
 #: items whose tables every Python worker holds at a time; more items are done in blocks
 ITEMS = 20_000
+#: ... and characters of their texts
+CHARACTERS = 8_000_000
 _PAIR = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -268,14 +270,15 @@ class Items:
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
-    """The items in blocks of at most ITEMS; the driver holds one block at a time."""
-    block = []
+    """The items in blocks of at most ITEMS and CHARACTERS, or one longer item; the driver holds one block at a time."""
+    block, size = [], 0
     rows = benchmark.select(F.col(item_col).cast("long"), F.col(text_col)).where(F.col(text_col).isNotNull())
     for item_id, text in rows.toLocalIterator():
-        block.append((item_id, text))
-        if len(block) == ITEMS:
+        if block and (len(block) == ITEMS or size + len(text) > CHARACTERS):
             yield block
-            block = []
+            block, size = [], 0
+        block.append((item_id, text))
+        size += len(text)
     if block:
         yield block
 

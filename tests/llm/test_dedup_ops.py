@@ -250,6 +250,17 @@ def test_recall_at_the_largest_distance(m, kind):
     assert sum((i, i) in found for i in range(200)) >= 0.99 * 200
 
 
+def test_blocks_of_items(spark, monkeypatch):
+    rows = [(k, "word " * (k + 1)) for k in range(9)]
+    items = spark.createDataFrame(rows, "item_id long, text string")
+    monkeypatch.setattr(dec, "ITEMS", 4)
+    monkeypatch.setattr(dec, "CHARACTERS", 60)
+    blocks = list(dec._blocks(items, "item_id", "text"))
+    assert sorted(x for b in blocks for x in b) == rows and all(len(b) <= 4 and (len(b) == 1 or sum(len(t) for _, t in b) <= 60) for b in blocks)
+    docs = spark.createDataFrame([(1, "a word word word b")], "doc_id long, text string")
+    assert {r.item_id for r in dec.contaminated(docs, items).collect()} == {0, 1, 2}
+
+
 def test_words_across_blocks(monkeypatch, prose):
     from formspark.llm import words as w
 
