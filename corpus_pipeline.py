@@ -7,13 +7,12 @@ and reads it back as the next one's input.
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formspark.llm.common import checkpointed, table
+from formspark.llm.common import checkpointed, shared_folder, table
 from formspark.llm.decontaminate import contaminated
 from formspark.llm.graph import components
 from formspark.llm.mixing import fit_rates, memberships
@@ -92,12 +91,19 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents, each written and read again."""
+    """All stages over the documents, each written and read again.
+
+    A stage's folder goes once the next one is written, the last with the application.
+    """
     docs = table(spark, sf_dir, "documents")
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "checkpoints")
-    base = f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}")
+    files, before = folder.getFileSystem(spark._jsc.hadoopConfiguration()), None
     for k, (name, stage) in enumerate(STAGES):
-        path = f"{base}/{k}-{name}"
+        path = f"{folder.toString()}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            files.delete(spark._jvm.org.apache.hadoop.fs.Path(before), True)
+        before = path
+    files.deleteOnExit(folder)
     return docs
