@@ -83,14 +83,20 @@ def id_in_text(text: Column) -> Column:
 @F.pandas_udf(StringType())
 def _without_marks(names: pd.Series) -> pd.Series:
     def one(s):
-        return "".join(c for c in unicodedata.normalize("NFD", s or "") if unicodedata.category(c) != "Mn" or "஀" <= c <= "௿")
+        return "".join(c for c in unicodedata.normalize("NFD", s) if unicodedata.category(c) != "Mn" or "஀" <= c <= "௿")
 
-    return names.map(one)
+    return names.map(one, na_action="ignore")
 
 
 @F.pandas_udf(StringType())
 def _compatible(values: pd.Series) -> pd.Series:
-    return values.map(lambda s: unicodedata.normalize("NFKC", s or ""))
+    return values.map(lambda s: unicodedata.normalize("NFKC", s), na_action="ignore")
+
+
+def _normalised(text: Column, form) -> Column:
+    """A Unicode form of a text; plain ASCII is its own form, and only other texts go to Python."""
+    t = blank(text)
+    return F.coalesce(form(F.when(t.rlike(r"[^\x00-\x7F]"), t)), t)
 
 
 def clean_name_plain(name: Column) -> Column:
@@ -102,7 +108,7 @@ def clean_name_plain(name: Column) -> Column:
 
 def clean_name(name: Column) -> Column:
     """Letters of any script, spaces, periods, hyphens and apostrophes; accents go, but in the second script."""
-    return clean_name_plain(_without_marks(blank(name)))
+    return clean_name_plain(_normalised(name, _without_marks))
 
 
 def clean_house_plain(raw: Column) -> Column:
@@ -121,7 +127,7 @@ def clean_house_plain(raw: Column) -> Column:
 
 def clean_house(raw: Column) -> Column:
     """A house number: signs to what they look like, whitelist, unmatched parentheses, leading letter for digit."""
-    return clean_house_plain(_compatible(blank(raw)))
+    return clean_house_plain(_normalised(raw, _compatible))
 
 
 def house_value(raw: Column) -> Column:

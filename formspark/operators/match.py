@@ -8,10 +8,14 @@ from pyspark.sql import functions as F
 from ..functions.text import blank, clean_house_plain, unguarded
 
 
-def candidate_pairs(first: DataFrame, second: DataFrame, part: str = "part_no") -> DataFrame:
-    """Every page of the first language with all pages of its part in the second; pages without one stay."""
-    other = second.select(part, F.col("page_no").alias("other_page"), F.col("path").alias("other_path"))
-    return first.join(other, part, "left")
+def candidate_pairs(first: DataFrame, second: DataFrame, part: list[str] | None = None) -> DataFrame:
+    """Every page of the first language with all pages of its part in the second; pages without one stay.
+
+    A part is named by its number, and where a table has several constituencies by theirs as well.
+    """
+    keys = part or ["part_no"]
+    other = second.select(*keys, F.col("page_no").alias("other_page"), F.col("path").alias("other_path"))
+    return first.join(other, keys, "left")
 
 
 def page_overlap(first: DataFrame, second: DataFrame, part: str = "part_no", cells: int = 6, most: int = 3) -> DataFrame:

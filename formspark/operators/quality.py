@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,18 +55,30 @@ def complete_rows(df: DataFrame, fields: list[str], by: list[str]) -> DataFrame:
     )
 
 
-def distinct_values(df: DataFrame, columns: list[str], first: int | None = None) -> DataFrame:
-    """One row: the sorted distinct values of each column, blanks included; the first so many."""
-    sets = {c: F.sort_array(F.collect_set(blank(F.col(c).cast("string")))) for c in columns}
-    return df.agg(*[(F.slice(v, 1, first) if first else v).alias(c) for c, v in sets.items()])
+def distinct_values(df: DataFrame, columns: list[str], first: dict[str, int] | None = None) -> DataFrame:
+    """(field, value): the distinct values of each column, blanks included, as rows.
+
+    Of the columns in ``first`` only the first so many in string order.  Values are combined before their
+    shuffle and never meet in one row or task.
+    """
+    named = F.array(*[F.struct(F.lit(c).alias("field"), blank(F.col(c).cast("string")).alias("value")) for c in columns])
+    values = df.select(F.explode(named).alias("_s")).select("_s.field", "_s.value").distinct()
+    cut = [values.where(F.col("field") == c).orderBy("value").limit(n) for c, n in (first or {}).items()]
+    return reduce(DataFrame.unionAll, cut, values.where(~F.col("field").isin(*(first or {}))) if first else values)
 
 
 def samples(df: DataFrame, value: Column, order: list[str], by: list[str], n: int) -> DataFrame:
-    """(by, sample, n_all): the first n values that are not null, by order; a bounded buffer for each group."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    ranked = df.withColumn("_v", value).where("_v is not null").withColumn("_k", F.row_number().over(w))
-    kept = F.array_sort(F.collect_list(F.when(F.col("_k") <= n, F.struct("_k", "_v"))))
-    return ranked.groupBy(*by).agg(F.transform(kept, lambda s: s["_v"]).alias("sample"), F.count("*").alias("n_all"))
+    """(by, sample, n_all): the first n values that are not null, by order; a bounded buffer for each group.
+
+    The ranking keeps n rows of a group in each task before its shuffle; the numbers are counted apart.
+    """
+    given = df.select(*by, *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], value.alias("_v")).where("_v is not null")
+    w = Window.partitionBy(*by).orderBy(*[f"_o{i}" for i in range(len(order))])
+    ranked = given.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= n)
+    firsts = ranked.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", "_v"))), lambda s: s["_v"]).alias("sample"))
+    counts = given.groupBy(*[F.col(c).alias(f"_b{i}") for i, c in enumerate(by)]).agg(F.count("*").alias("n_all"))
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_b{i}")) for i, c in enumerate(by)], F.lit(True))
+    return firsts.join(counts, same).select(*by, "sample", "n_all")
 
 
 def anomaly_rules(cols: dict[str, str], prefixes: list[str], relations: list[str], max_part: int = 400) -> dict[str, tuple[Column, Column]]:

@@ -6,13 +6,10 @@ page at most.  Serials are integers, null where missing.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import corrected_serial
+from ..functions.text import corrected_serial, let
 
 
 def infer_serials(df: DataFrame, page: list[str], order: list[str], serial: str = "serial", out: str = "inferred") -> DataFrame:
@@ -64,82 +61,70 @@ def correct_strays(df: DataFrame, page: list[str], order: list[str], serial: str
     )
 
 
-def serial_gaps(df: DataFrame, page: list[str], serial: str = "serial") -> DataFrame:
-    """(page, gaps): the numbers missing between the smallest and the largest serial."""
-    have = df.where(F.col(serial).isNotNull()).groupBy(*page).agg(F.collect_set(serial).alias("_have"))
-    full = F.sequence(F.array_min("_have"), F.array_max("_have"))
-    return have.select(*page, F.sort_array(F.array_except(full, F.col("_have"))).alias("gaps"))
+def serial_gaps(df: DataFrame, page: list[str], serial: str = "serial", slack: int = 5, least: int = 20) -> DataFrame:
+    """(page, gaps, n_missing): the numbers missing between the smallest and the largest serial.
+
+    Neighbours among the sorted serials bound intervals of missing numbers.  One that is no longer than
+    the page's reach (its known serials and ``slack`` more, ``least`` at least) is written out; a longer one
+    comes from a stray serial, so it only counts in n_missing.
+    """
+    known = df.where(F.col(serial).isNotNull()).withColumn("_s", F.col(serial).cast("long"))
+    w = Window.partitionBy(*page)
+    placed = known.withColumn("_next", F.lead("_s").over(w.orderBy("_s"))).withColumn("_reach", F.greatest(F.count("*").over(w) + slack, F.lit(least)))
+    missing = F.greatest(F.coalesce(F.col("_next") - F.col("_s") - 1, F.lit(0)), F.lit(0))
+    numbers = F.when((missing > 0) & (missing <= F.col("_reach")), F.sequence(F.col("_s") + 1, F.col("_next") - 1))
+    found = placed.select(*page, missing.alias("_n"), numbers.alias("_gap"))
+    return found.groupBy(*page).agg(F.sort_array(F.flatten(F.collect_list("_gap"))).alias("gaps"), F.sum("_n").alias("n_missing"))
+
+
+def unrepeated(serials: Column) -> Column:
+    """The serials of a page, in their order, with every number once where that is possible.
+
+    The repeated numbers are folded over in the order in which they first come.  Each looks for the free
+    number nearest to it: the one below or above the run of taken numbers around it, if it is inside the
+    page's range, the lower one of equals.  The row of the repeated number that stands nearest to that
+    number's place takes it.  Where none is free the later rows are cleared and inferred from the row before.
+    """
 
+    def folded(values: Column) -> Column:
+        places = F.sequence(F.lit(0), F.size(values) - 1)
+        given = F.array_distinct(F.filter(values, lambda x: x.isNotNull()))
+        low, high = F.array_min(given), F.array_max(given)
+        where = lambda v: F.filter(places, lambda i: F.get(values, i) == v)
+        repeated = F.filter(given, lambda v: F.size(where(v)) > 1)
 
-def repair_duplicates(df: DataFrame, page: list[str], order: list[str], serial: str = "serial", out: str = "repaired") -> DataFrame:
-    """Give one row of each repeated serial the gap nearest to it, or clear its later rows and infer.
+        def free(v: Column, taken: Column) -> Column:
+            below = F.array_max(F.filter(taken, lambda x: (x <= v) & ~F.array_contains(taken, x - 1))) - 1
+            above = F.array_min(F.filter(taken, lambda x: (x >= v) & ~F.array_contains(taken, x + 1))) + 1
+            lower, upper = F.when(below > low, below), F.when(above < high, above)
+            return F.when(upper.isNull() | (v - lower <= upper - v), lower).otherwise(upper)
 
-    Each step consumes a gap the next one can no longer have, so a page is folded in order.  Pages
-    are dealt by key and come sorted, many in one batch; a page holds some thirty rows.
-    """
-    schema = df.select("*", F.col(serial).cast("long").alias(out)).schema
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None
-        for batch in batches:
-            rest = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-            # the last page of a batch may go on in the next
-            keys = rest[page].apply(tuple, axis=1) if len(page) > 1 else rest[page[0]]
-            cut = int((keys != keys.iloc[-1]).to_numpy().nonzero()[0].max(initial=-1)) + 1
-            if cut:
-                yield repaired(rest.iloc[:cut], keys.iloc[:cut])
-                rest = rest.iloc[cut:].reset_index(drop=True)
-        if rest is not None and len(rest):
-            yield repaired(rest, rest[page].apply(tuple, axis=1) if len(page) > 1 else rest[page[0]])
-
-    def repaired(rows: pd.DataFrame, keys: pd.Series) -> pd.DataFrame:
-        values = [None if pd.isna(v) else int(v) for v in rows[serial]]
-        names, fixed, a = keys.tolist(), [], 0
-        for z in range(1, len(names) + 1):
-            if z == len(names) or names[z] != names[a]:
-                fixed += _unrepeated(values[a:z])
-                a = z
-        return rows.assign(**{out: pd.array(fixed, dtype="Int64")})[schema.names]
-
-    return df.repartition(*page).sortWithinPartitions(*page, *order).mapInPandas(run, schema)
-
-
-def _filled(values: list[int | None]) -> list[int | None]:
-    known = [(i, v) for i, v in enumerate(values) if v is not None]
-    out = list(values)
-    for i, v in enumerate(values):
-        if v is None and known:
-            earlier = [k for k in known if k[0] < i]
-            j, base = earlier[-1] if earlier else known[0]
-            out[i] = base + i - j
-    return out
-
-
-def _unrepeated(values: list[int | None]) -> list[int | None]:
-    places: dict[int, list[int]] = {}
-    for i, v in enumerate(values):
-        if v is not None:
-            places.setdefault(v, []).append(i)
-    if len(places) < 1 or len(values) < 2:
-        return values
-    known = sorted(places)
-    missing = sorted(set(range(known[0], known[-1] + 1)) - set(known)) if len(known) > 1 else []
-    out = list(values)
-    if len(known) < 2 and all(len(p) < 2 for p in places.values()):
-        return out
-    for value, at in places.items():
-        if len(at) < 2:
-            continue
-        if missing:
-            gap = min(missing, key=lambda g: (abs(g - value), g))
-            chosen = min(at, key=lambda i: (abs(i - (gap - known[0])), i))
-            out[chosen] = gap
-            missing.remove(gap)
-        else:
-            for i in at[1:]:
-                out[i] = None
-            out = _filled(out)
-    return out
+        def inferred(cleared: Column) -> Column:
+            known = F.filter(places, lambda i: F.get(cleared, i).isNotNull())
+            nearest = lambda i: F.coalesce(F.array_max(F.filter(known, lambda k: k < i)), F.get(known, F.lit(0)))
+            return F.transform(cleared, lambda x, i: F.coalesce(x, let(nearest(i), lambda k: F.get(cleared, k) + i - k)))
+
+        def step(state: Column, v: Column) -> Column:
+            taken, now, at = state["taken"], state["now"], where(v)
+            chosen = lambda g: F.array_min(F.transform(at, lambda i: F.struct(F.abs(i - (g - low)).alias("away"), i.alias("i"))))["i"]
+            placed = lambda g: let(chosen(g), lambda c: F.transform(now, lambda x, i: F.when(i == c, g).otherwise(x)))
+            cleared = F.transform(now, lambda x, i: F.when((F.get(values, i) == v) & (i > F.get(at, F.lit(0))), F.lit(None)).otherwise(x))
+            return let(free(v, taken), lambda g: F.struct(
+                F.when(g.isNotNull(), F.concat(taken, F.array(g))).otherwise(taken).alias("taken"),
+                F.when(g.isNotNull(), placed(g)).otherwise(let(cleared, inferred)).alias("now"),
+            ))
+
+        return F.aggregate(repeated, F.struct(given.alias("taken"), values.alias("now")), step)["now"]
+
+    return let(serials, folded)
+
+
+def repair_duplicates(df: DataFrame, page: list[str], order: list[str], serial: str = "serial", out: str = "repaired") -> DataFrame:
+    """Every serial of a page once: ``unrepeated`` over the array of a page's rows, which are some thirty."""
+    row = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.col(serial).cast("long").alias("serial"), F.struct("*").alias("row"))
+    pages = df.groupBy(*page).agg(F.sort_array(F.collect_list(row)).alias("_rows"))
+    fixed = pages.select("_rows", unrepeated(F.transform("_rows", lambda r: r["serial"])).alias("_fixed"))
+    return fixed.select(F.explode(F.arrays_zip("_rows", "_fixed")).alias("_z")).select("_z._rows.row.*", F.col("_z._fixed").alias(out))
 
 
 def cell_position(index: Column, columns: int = 3) -> Column:

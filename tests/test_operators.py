@@ -71,7 +71,45 @@ def test_duplicates_and_gaps(spark):
     df = spark.createDataFrame(rows, "page int, cell int, serial long")
     got = grouped([(r.page, r.cell, r.repaired) for r in W.repair_duplicates(df, ["page"], ["cell"]).collect()])
     assert got == {0: [1, 2, 3, 4], 1: [7, 8, 8], 2: [None], 3: [4]}
-    assert {r.page: r.gaps for r in W.serial_gaps(df, ["page"]).collect()} == {0: [3], 1: [], 3: []}
+    assert {r.page: (r.gaps, r.n_missing) for r in W.serial_gaps(df, ["page"]).collect()} == {0: ([3], 1), 1: ([], 0), 3: ([], 0)}
+
+
+def test_a_stray_serial_costs_nothing(spark):
+    df = spark.createDataFrame([(0, 0, 5), (0, 1, 7), (0, 2, 7), (0, 3, 900_000_000)], "page int, cell int, serial long")
+    assert [(r.gaps, r.n_missing) for r in W.serial_gaps(df, ["page"]).collect()] == [([6], 900_000_000 - 5 - 2)]
+    assert grouped([(r.page, r.cell, r.repaired) for r in W.repair_duplicates(df, ["page"], ["cell"]).collect()]) == {0: [5, 6, 7, 900_000_000]}
+
+
+def test_duplicate_repair_by_its_definition(spark):
+    """Against sets of free numbers, on random pages of few numbers."""
+    rng = random.Random(5)
+    rows = [(p, i, rng.choice([None, *range(1, 9)])) for p in range(150) for i in range(rng.randint(1, 9))]
+    df = spark.createDataFrame(rows, "page int, cell int, serial long").repartition(3)
+    got = grouped([(r.page, r.cell, r.repaired) for r in W.repair_duplicates(df, ["page"], ["cell"]).collect()])
+    for page, values in grouped(rows).items():
+        given = [v for v in dict.fromkeys(values) if v is not None]
+        free = set(range(min(given, default=0), max(given, default=0))) - set(given)
+        now = list(values)
+        for v in given:
+            spots = [i for i, x in enumerate(values) if x == v]
+            if len(spots) > 1 and free:
+                number = min(free, key=lambda g: (abs(g - v), g))
+                free.discard(number)
+                now[min(spots, key=lambda i: (abs(i - (number - min(given))), i))] = number
+            elif len(spots) > 1:
+                now = filled([None if i in spots[1:] else x for i, x in enumerate(now)])
+        assert got[page] == now, (page, values)
+
+
+def test_samples_and_distinct_values(spark):
+    rows = [(i % 3 or None, i, None if i % 5 == 0 else f"v{i % 40:02d}") for i in range(400)]
+    df = spark.createDataFrame(rows, "part int, k int, v string")
+    got = {r.part: (r["sample"], r.n_all) for r in Q.samples(df, F.col("v"), ["k"], ["part"], 4).collect()}
+    for part in (None, 1, 2):
+        want = [v for p, _, v in rows if p == part and v]
+        assert got[part] == (want[:4], len(want))
+    values = sorted((r.field, r.value) for r in Q.distinct_values(df, ["v", "part"], {"v": 3}).collect())
+    assert values == [("part", ""), ("part", "1"), ("part", "2"), ("v", ""), ("v", "v01"), ("v", "v02")]
 
 
 def test_votes(spark):
