@@ -243,7 +243,8 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     other.  Rows with a null id are kept; their group takes the smallest id that is not null.
     Repeated rows stay repeated; other columns of docs are not read.
     """
-    prints = checkpointed(small_batches(docs).select(F.col(id_col).cast("long").alias("_id"), fingerprint(F.col(text_col)).alias("fp")))
+    # dealt by fingerprint once, for the groups, the join and a few large files
+    prints = checkpointed(small_batches(docs).select(F.col(id_col).cast("long").alias("_id"), fingerprint(F.col(text_col)).alias("fp")).repartition("fp"))
     nodes = prints.groupBy("fp").agg(F.min("_id").alias("node"))
     found = components(links(nodes.where(F.col("node").isNotNull()), bits))
     named = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
