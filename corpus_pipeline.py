@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formspark.llm.common import checkpointed, shared_folder, table
+from formspark.llm.common import checkpointed, shared_folder, small_batches, table
 from formspark.llm.decontaminate import contaminated
 from formspark.llm.graph import components
 from formspark.llm.mixing import fit_rates, memberships
@@ -23,12 +23,20 @@ from formspark.llm.toxicity import fit, score_texts
 #: No SQL can express the stages; tests hold them against brute force.
 ORACLE_SQL = None
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: bytes of input for each file that a stage writes
+FILE_BYTES = 128 << 20
+
+
+def packed(out: DataFrame, docs: DataFrame) -> DataFrame:
+    """What a stage makes of docs in files of some FILE_BYTES, two for each core at least, not one for each small task."""
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return out.coalesce(max(2 * docs.sparkSession.sparkContext.defaultParallelism, min(-(-size // FILE_BYTES), 1_000_000)))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model does not reject."""
     model = fit(docs, table(spark, sf_dir, "labels"))
-    return score_texts(docs, model, COLUMNS).where("predicted = 0").select(*COLUMNS)
+    return packed(score_texts(docs, model, COLUMNS).where("predicted = 0").select(*COLUMNS), docs)
 
 
 def row_key() -> Column:
@@ -43,14 +51,14 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     all have the fingerprint zero and are one component.
     """
     keyed = docs.withColumn("_key", row_key())
-    prints = checkpointed(keyed.select("doc_id", "_key", fingerprint(F.col("text")).alias("fp")))
+    prints = small_batches(keyed).select("doc_id", "_key", fingerprint(F.col("text")).alias("fp"))
     row = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("_key").alias("k"))
     # the fingerprint is the node, so that rows need no id to be linked
-    least = prints.groupBy("fp").agg(F.min(row).alias("row"))
+    least = checkpointed(prints.groupBy("fp").agg(F.min(row).alias("row")))
     found = components(links(least.select("fp", F.col("fp").alias("node"))))
     named = least.join(found, least["fp"] == found["node"], "left").select(F.coalesce("component", "fp").alias("component"), "row")
     kept = named.groupBy("component").agg(F.min("row").alias("row")).select(F.col("row.k").alias("_key"))
-    return keyed.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select(*COLUMNS)
+    return packed(keyed.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select(*COLUMNS), docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,14 +68,14 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     cut = suffix_dedup(named, keep=["doc_id", "lang", "source", "n_chars", "_no_text"])
     out = cut.withColumn("text", F.when(~F.col("_no_text"), F.col("kept_text")))
     out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.where((F.col("n_removed") == 0) | (F.trim(F.col("text")) != "")).select(*COLUMNS)
+    return packed(out.where((F.col("n_removed") == 0) | (F.trim(F.col("text")) != "")).select(*COLUMNS), docs)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
     keyed = docs.withColumn("_key", row_key())
     leaks = contaminated(keyed, table(spark, sf_dir, "benchmark"), id_col="_key").select("_key").distinct()
-    return keyed.join(leaks, "_key", "left_anti").select(*COLUMNS)
+    return packed(keyed.join(leaks, "_key", "left_anti").select(*COLUMNS), docs)
 
 
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -77,8 +85,8 @@ def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     the texts go nowhere.
     """
     members = memberships(docs.select(*COLUMNS), table(spark, sf_dir, "labels"))
-    rates = fit_rates(checkpointed(members.select("tokens", "p_low", "p_toxic", "p_good")))
-    return members.select("*", rates.column().alias("rate"))
+    rates = fit_rates(checkpointed(packed(members.select("tokens", "p_low", "p_toxic", "p_good"), docs)))
+    return packed(members.select("*", rates.column().alias("rate")), docs)
 
 
 STAGES = [
