@@ -29,7 +29,7 @@ FILE_BYTES = 128 << 20
 
 def packed(out: DataFrame, docs: DataFrame) -> DataFrame:
     """What a stage makes of docs in files of some FILE_BYTES, two for each core at least, not one for each small task."""
-    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return out.coalesce(max(2 * docs.sparkSession.sparkContext.defaultParallelism, min(-(-size // FILE_BYTES), 1_000_000)))
 
 
