@@ -24,13 +24,13 @@ from formspark.llm.toxicity import fit, score_texts
 ORACLE_SQL = None
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: bytes of input for each file that a stage writes
-FILE_BYTES = 128 << 20
+FILE_BYTES = 32 << 20
 
 
 def packed(out: DataFrame, docs: DataFrame) -> DataFrame:
-    """What a stage makes of docs in files of some FILE_BYTES, two for each core at least, not one for each small task."""
+    """What a stage makes of docs in files of some FILE_BYTES, one for each core at least, not one for each small task."""
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return out.coalesce(max(2 * docs.sparkSession.sparkContext.defaultParallelism, min(-(-size // FILE_BYTES), 1_000_000)))
+    return out.coalesce(max(docs.sparkSession.sparkContext.defaultParallelism, min(-(-size // FILE_BYTES), 1_000_000)))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
