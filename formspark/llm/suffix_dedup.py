@@ -488,9 +488,11 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     that ``keep`` names: they are returned, and kept_text is then the text without all removed
     characters (a character goes when all its bytes do).
     """
-    row = F.struct(F.col(id_col).isNull().alias("_none"), *[F.col(c) for c in keep or [] if c != id_col])
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    base = small_batches(docs).select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("th"), text.alias("text"), row.alias("row"))
+    text, kept = F.coalesce(F.col(text_col), F.lit("")), [c for c in keep or [] if c != id_col]
+    # the lowest bit of the hash says that there is no id; the hash joins rows with their id, so no other column has to
+    named = F.xxhash64(text).bitwiseAND(F.lit(-2).cast("long")).bitwiseOR(F.col(id_col).isNull().cast("long"))
+    row = [F.struct(*[F.col(c) for c in kept]).alias("row")] if kept else []
+    base = small_batches(docs).select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), named.alias("th"), text.alias("text"), *row)
 
     # 1. anchors whose gram is in two documents; buckets grow in number with the bytes of all texts, not in size
     n, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.col(text_col)).cast("long")), F.lit(0))).first()
@@ -515,8 +517,10 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     # 4. marks back to their documents
     marks = marks.groupBy("id", "th").agg(F.collect_list("mark").alias("marks"))
-    joined = whole.join(first.join(marks, ["id", "th"], "left"), ["id", "th"]).select("id", "text", "first", "marks", "row")
+    no_id = (F.col("th").bitwiseAND(F.lit(1).cast("long")) == 1).alias("_none")
+    joined = whole.join(first.join(marks, ["id", "th"], "left"), ["id", "th"])
+    joined = joined.select("id", "text", "first", "marks", F.struct(no_id, *[F.col("row")[c].alias(c) for c in kept]).alias("row"))
     result = StructType.fromDDL("id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string").add(joined.schema["row"])
     out = joined.mapInArrow(_results(bool(keep)), result).withColumn(id_col, F.when(~F.col("row")["_none"], F.col("id")))
     columns = [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-    return out.select(*columns, "kept_text", *[F.col("row")[c].alias(c) for c in keep if c != id_col]) if keep else out.select(*columns)
+    return out.select(*columns, "kept_text", *[F.col("row")[c].alias(c) for c in kept]) if keep else out.select(*columns)
