@@ -31,6 +31,13 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument("--part", help="part numbers, like 1,5,10-20")
         c.add_argument("--page", help="page numbers; needs --part")
         c.add_argument("--limit", type=int, default=0)
+        c.add_argument("--all", action="store_true", help="every directory AC-... below the input")
+        c.add_argument("--validate", action="store_true", help="only the first page")
+        c.add_argument("--dry-run", action="store_true", help="show the pages that would be read, and how many more there are")
+        c.add_argument("--workers", type=int, default=0, help="cores of a local session")
+        c.add_argument("--cross-check", action="store_true", help="keep the two columns of the cross-check")
+        if name == "merge":
+            c.add_argument("--force", action="store_true", help="parts that the manifest names as well")
     reset = sub.add_parser("reset", help="drop manifest rows, of all or of some parts")
     reset.add_argument("manifest")
     reset.add_argument("--part")
@@ -41,19 +48,33 @@ def parser() -> argparse.ArgumentParser:
 def selected(spark: SparkSession, args):
     if args.page and not args.part:
         raise SystemExit("--page needs --part")
-    rows = files.record_files(spark, args.input)
+    rows = files.record_files(spark, f"{args.input.rstrip('/')}/AC-*" if args.all else args.input)
+    if not args.cross_check:
+        rows = rows.drop(*files.CHECK_COLUMNS)
     if args.part:
         rows = rows.where(in_ranges(F.expr("try_cast(`Part No` as int)"), args.part))
     if args.page:
         rows = rows.where(in_ranges(F.col("page"), args.page))
+    if args.validate:
+        rows = rows.join(rows.agg(F.min("file").alias("file")), "file", "left_semi")
     return rows.orderBy("file").limit(args.limit) if args.limit else rows
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     args = parser().parse_args(argv)
-    spark = spark or SparkSession.builder.appName("formspark").getOrCreate()
-    if args.command == "merge":
-        sinks.write_merged(selected(spark, args).drop("file", "part_key", "page"), args.output)
+    if spark is None:
+        builder = SparkSession.builder.appName("formspark")
+        spark = (builder.master(f"local[{args.workers}]") if getattr(args, "workers", 0) else builder).getOrCreate()
+    if getattr(args, "dry_run", False):
+        pages = selected(spark, args).select(F.col("file").alias("key")).distinct()
+        shown, more = incremental.dry_run(pages)
+        shown.show(truncate=False)
+        print(f"and {more} more")
+    elif args.command == "merge":
+        rows, out = selected(spark, args), args.output.rstrip("/")
+        written, left = sinks.merge_parts(rows.drop("file", "page"), f"{out}.parts", f"{out}.manifest", force=args.force)
+        print(f"{written} parts merged, {left} left as they were")
+        sinks.write_merged(rows.drop("file", "part_key", "page"), out)
     elif args.command == "preview":
         selected(spark, args).limit(10).show(truncate=40)
     elif args.command == "analyze":

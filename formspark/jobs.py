@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import threading
 import uuid
+from collections import deque
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
@@ -20,12 +21,27 @@ SCHEMA = "item string, directory string, status string, step string, error strin
 Step = tuple[str, Callable[[SparkSession, str], None]]
 
 
+#: lines that are kept of an item, and items whose lines are kept
+LINES, KEPT = 2_000, 100
+
+
 @dataclass
 class Queue:
     spark: SparkSession
     log_path: str
     steps: list[Step]
     stopping: threading.Event = field(default_factory=threading.Event)
+    lines: dict[str, deque] = field(default_factory=dict)
+
+    def say(self, item: str, line: str) -> None:
+        """Keep a line of an item's output; the oldest item's lines go beyond KEPT items."""
+        if item not in self.lines and len(self.lines) >= KEPT:
+            del self.lines[next(iter(self.lines))]
+        self.lines.setdefault(item, deque(maxlen=LINES)).append(line)
+
+    def registry(self, n: int = 50) -> DataFrame:
+        """The last n items, the newest first."""
+        return self.items().orderBy(F.col("added").desc(), "item").limit(n)
 
     def _log(self, item: str, directory: str, status: str, step: str = "", error: str = "") -> None:
         row = (item, directory, status, step, error, datetime.now(timezone.utc).replace(tzinfo=None))
@@ -44,8 +60,8 @@ class Queue:
         return last.where("_n = 1").drop("_n").orderBy("added")
 
     def add(self, directory: str) -> str | None:
-        """Queue a directory unless it waits already."""
-        if self.items().where((F.col("directory") == directory) & (F.col("status") == "waiting")).limit(1).count():
+        """Queue a directory unless it waits or runs already."""
+        if self.items().where((F.col("directory") == directory) & F.col("status").isin("waiting", "running")).limit(1).count():
             return None
         item = uuid.uuid4().hex
         self._log(item, directory, "waiting")
@@ -80,9 +96,12 @@ class Queue:
             try:
                 for step, work in self.steps:
                     self._log(item, directory, "running", step)
+                    self.say(item, f"{step} of {directory} begins")
                     work(self.spark, directory)
                 self._log(item, directory, "done")
+                self.say(item, f"{directory} is done")
             except Exception as failure:
+                self.say(item, f"{step} of {directory} failed: {failure}"[:2000])
                 self._log(item, directory, "failed", step, str(failure)[:2000])
             finally:
                 self.spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)

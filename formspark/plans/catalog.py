@@ -6,8 +6,11 @@ texts), it derives them with one SQL text that Spark and the oracle both run.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +23,7 @@ from ..operators import quality as Q
 from ..operators import sequence as W
 from ..operators import vote as V
 from ..sources import files as S
+from ..sources import sinks as K
 from ..streaming import incremental as I
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -909,6 +913,105 @@ def proportional_cells(spark, d):
     return G.proportional_cells(table(spark, d, "part").select(k.alias("page"), (900 + k % 400).alias("height"), (600 + k % 300).alias("width")))
 
 
+#: ruled pages: three columns and ten rows of lines three pixels wide, with ink in some of the cells
+RULED = """SELECT s_suppkey AS page_key, CAST(640 + s_suppkey % 5 * 16 AS INT) AS height, CAST(480 + s_suppkey % 7 * 12 AS INT) AS width FROM supplier"""
+
+
+def _drawn(batches):
+    for batch in batches:
+        for k, h, w in zip(batch["page_key"], batch["height"], batch["width"]):
+            page = np.full((h, w), 255, np.uint8)
+            for r in range(11):
+                y = 15 + r * ((h - 30) // 10)
+                page[y : y + 3, 8 : w - 8] = 0
+            for c in range(4):
+                x = 10 + c * ((w - 24) // 3)
+                page[15 : 15 + 10 * ((h - 30) // 10), x : x + 3] = 0
+            for i in range(30):
+                if (k + i) % 3 == 0:
+                    y, x = 25 + i // 3 * ((h - 30) // 10), 40 + i % 3 * ((w - 24) // 3)
+                    page[y : y + 30, x : x + 30] = 0
+            yield pd.DataFrame({"page_key": [k], "pixels": [page.tobytes()], "height": [h], "width": [w]})
+
+
+@query(
+    "page_grid",
+    f"""WITH p AS (SELECT *, (height - 30) // 10 AS ch, (width - 24) // 3 AS cw, unnest(range(30)) AS i FROM ({RULED}))
+        SELECT page_key, CAST(i AS INT) AS cell_index, CAST(11 + i % 3 * cw AS INT) AS x1, CAST(16 + i // 3 * ch AS INT) AS y1, CAST(11 + (i % 3 + 1) * cw AS INT) AS x2,
+               CAST(16 + (i // 3 + 1) * ch AS INT) AS y2, (page_key + i) % 3 <> 0 AS empty FROM p""",
+)
+def page_grid(spark, d):
+    return G.page_cells(derived(spark, d, RULED).mapInPandas(_drawn, "page_key long, pixels binary, height int, width int"))
+
+
+# ---------------------------------------------------------------- files and run logs
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A folder of its own for files that a query writes and reads; it goes with the application."""
+    sc = spark.sparkContext
+    shared = sc.getConf().get("spark.checkpoint.dir") or f"{spark.conf.get('spark.sql.warehouse.dir')}/scratch"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return folder.toString()
+
+
+_MAPPED = {"AC No": "part", "Part No": "part", "Serial No": "serial", "EPIC ID": "raw_id", "Name (English)": "name", "Relation Type": "rel", "House No": "house", "Age": "age", "Gender": "sex"}
+
+
+@query(
+    "page_files",
+    "SELECT "
+    + ", ".join(
+        f"""CASE WHEN house <> '' AND NOT starts_with(house, chr(39)) THEN chr(39) || house ELSE house END AS "{c}" """ if c == "House No"
+        else f'CAST({_MAPPED[c]} AS VARCHAR) AS "{c}"' if c in _MAPPED else f"""'' AS "{c}" """ for c in S.RECORD_COLUMNS
+    )
+    + f" FROM ({PEOPLE})",
+)
+def page_files(spark, d):
+    path = scratch(spark, "pages")
+    rows = K.record_rows(derived(spark, d, PEOPLE), _MAPPED)
+    K.write_pages(rows.withColumn("part", F.col("Part No")), path, ["part"])
+    return S.record_files(spark, path).select(*S.RECORD_COLUMNS)
+
+
+@query(
+    "run_log",
+    """SELECT o_orderpriority AS directory, min(o_orderdate::TIMESTAMP) AS started, max(o_orderdate::TIMESTAMP) AS completed,
+       CAST(epoch(max(o_orderdate::TIMESTAMP)) - epoch(min(o_orderdate::TIMESTAMP)) AS DOUBLE) AS duration_seconds, count(*) AS total_pairs, count_if(o_orderstatus = 'F') AS processed,
+       CAST(sum(o_custkey) AS BIGINT) AS total_records, count_if(o_custkey % 10 = 0) AS warnings, count_if(o_orderstatus = 'P') AS errors FROM orders GROUP BY o_orderpriority""",
+)
+def run_log(spark, d):
+    when, status = F.col("o_orderdate").cast("timestamp"), F.col("o_orderstatus")
+    pages = table(spark, d, "orders").select(
+        F.col("o_orderpriority").alias("directory"), when.alias("started"), when.alias("completed"), (status == "F").alias("processed"),
+        F.col("o_custkey").alias("n_records"), (F.col("o_custkey") % 10 == 0).cast("int").alias("n_warnings"), (status == "P").cast("int").alias("n_errors"),
+    )
+    path = scratch(spark, "runs")
+    K.append_manifest(K.run_summaries(pages), path)
+    return spark.read.parquet(path)
+
+
+@query("directories", "SELECT DISTINCT 'AC-' || CAST(c_custkey % 150 AS VARCHAR) AS directory FROM customer WHERE c_custkey % 4 <> 0 ORDER BY directory")
+def directories(spark, d):
+    k = F.col("c_custkey")
+    path = F.concat(F.lit("/data/AC-"), (k % 150).cast("string"), F.when(k % 4 == 0, "/tamil/").otherwise("/english/"), k.cast("string"), F.lit(".pdf"))
+    return S.directories(table(spark, d, "customer").select(path.alias("path")))
+
+
+_LOGS = """SELECT concat('logs/run-', CAST(o_orderkey AS VARCHAR(20)), CASE o_orderkey % 3 WHEN 0 THEN '.log' WHEN 1 THEN '.json' ELSE '.tmp' END) AS path,
+  CAST(o_custkey * 37 AS BIGINT) AS length, o_orderdate AS day, o_orderkey AS k FROM orders"""
+
+
+@query(
+    "log_listing",
+    f"""SELECT substr(path, 6) AS name, round_even(length / 1024.0::DOUBLE, 1) AS size_kb, day::TIMESTAMP AS "modificationTime" FROM ({_LOGS})
+        WHERE path LIKE '%.log' OR path LIKE '%.json' ORDER BY day DESC, name LIMIT 100""",
+)
+def log_listing(spark, d):
+    return S.log_listing(derived(spark, d, _LOGS).withColumn("modificationTime", F.col("day").cast("timestamp")))
+
+
 # ---------------------------------------------------------------- summaries over several tables
 
 

@@ -74,6 +74,13 @@ def test_queue(spark, tmp_path):
     q.run()
     assert seen == ["AC-1", "bad"]
     assert sorted((r.directory, r.status, r.error) for r in q.items().collect()) == [("AC-1", "done", ""), ("bad", "failed", "no")]
+    assert sorted(list(v)[-1] for v in q.lines.values()) == ["AC-1 is done", "merge of bad failed: no"]
+    assert [r.directory for r in q.registry(1).collect()] == ["bad"]
+    for k in range(jobs.KEPT + 5):
+        q.say(f"item {k}", "x")
+    for _ in range(jobs.LINES + 5):
+        q.say("item 50", "y")
+    assert len(q.lines) == jobs.KEPT and len(q.lines["item 50"]) == jobs.LINES
 
 
 def test_cli(spark, tmp_path):
@@ -83,6 +90,23 @@ def test_cli(spark, tmp_path):
     assert cli.main(["analyze", str(tmp_path / "a_page_1.csv")], spark) == 0
 
 
+def test_cli_options(spark, tmp_path, capsys):
+    for ac in ("AC-1", "AC-2"):
+        (tmp_path / ac).mkdir()
+        for page in (1, 2):
+            write(tmp_path / ac / f"{ac}_page_{page}.csv", files.RECORD_COLUMNS, f"{ac[3:]},{page},3,RVJ0000001,A,,,,Father,,20,Male,,")
+    out = str(tmp_path / "out")
+    assert cli.main(["merge", str(tmp_path), out, "--all"], spark) == 0 and "2 parts merged, 0 left" in capsys.readouterr().out
+    assert files.record_files(spark, out).count() == 4
+    assert cli.main(["merge", str(tmp_path), out, "--all"], spark) == 0 and "0 parts merged, 2 left" in capsys.readouterr().out
+    assert cli.main(["merge", str(tmp_path), out, "--all", "--force", "--cross-check"], spark) == 0 and "2 parts merged, 0 left" in capsys.readouterr().out
+    assert spark.read.option("header", True).csv(out).columns == [*files.RECORD_COLUMNS, *files.CHECK_COLUMNS]
+    assert spark.read.parquet(f"{out}.manifest").count() == 4 and spark.read.option("header", True).csv(f"{out}.parts").count() == 4
+    assert cli.main(["preview", str(tmp_path), "--all", "--dry-run"], spark) == 0 and "and 0 more" in capsys.readouterr().out
+    args = cli.parser().parse_args(["preview", str(tmp_path), "--all", "--validate"])
+    assert cli.selected(spark, args).count() == 1
+
+
 def test_pages_and_legacy(spark, tmp_path):
     docs = spark.createDataFrame([("a", "one\ftwo\fthree"), ("b", None)], "doc string, text string")
     pages = files.split_pages(docs, skip_pages=1).drop("text")

@@ -160,6 +160,83 @@ def test_geometry():
     assert G.is_empty_cell(page[40:120, 20:230]) and not G.is_empty_cell(np.zeros((50, 50), np.uint8)) and G.is_empty_cell(np.zeros((5, 50), np.uint8))
 
 
+def ruled(gaps=0, boxes=False):
+    """A page of three columns and ten rows, its lines broken by gaps, or its cells drawn as boxes of their own."""
+    page = np.full((1000, 700), 255, np.uint8)
+    if boxes:
+        for r in range(10):
+            for c in range(3):
+                y, x = 20 + r * 96, 15 + c * 225
+                page[y : y + 90, x : x + 215] = 0
+                page[y + 2 : y + 88, x + 2 : x + 213] = 255
+        return page
+    for y in range(30, 971, 94):
+        page[y : y + 3, 10:690] = 0
+    if gaps:
+        for x in range(60, 690, 60):
+            page[:, x : x + gaps] = 255
+    return page
+
+
+def test_lines_with_gaps_and_boxes():
+    whole = G.detect_grid(ruled())
+    assert len(whole) == 30 and [b[1] for b in G.detect_grid(ruled(gaps=12))] == [b[1] for b in whole]
+    assert G.line_positions(ruled(gaps=12) <= 128, 1, 100, 0.3) == [] and G.bridged_positions(ruled(gaps=30) <= 128, 1, 120) == []
+    boxes = G.sized_boxes(G.enclosed_boxes(ruled(boxes=True) <= 128), 1000, 700)
+    assert len(boxes) == 30 and boxes[0] == (17, 22, 228, 108) and boxes[4] == (242, 118, 453, 204)
+    text = np.full((1000, 700), 255, np.uint8)
+    text[::40, 20:680:4] = 0  # thin strokes with short gaps are no line
+    assert G.bridged_positions(text <= 128, 1, 141) == [] and len(G.detect_grid(text)) == 30
+
+
+def test_runs_of_pixels():
+    rng = np.random.default_rng(3)
+    dark = rng.random((60, 90)) < 0.8
+    for run in (1, 4, 9):
+        want = []
+        for y, row in enumerate(dark):
+            cover = 0
+            for part in "".join("x" if v else " " for v in row).split():
+                cover += len(part) if len(part) >= run else 0
+            if cover > 0.5 * 90:
+                want.append(y)
+        assert G.line_positions(dark, 1, run, 0.5) == G.group_positions(want)
+        assert G.line_positions(dark.T, 0, run, 0.5) == G.group_positions(want)
+
+
+def test_column_edges_from_ink():
+    ink = np.array([0] * 12 + [50] * 80 + [0] * 6 + [50] * 80 + [0] * 2 + [50] * 5 + [0] * 10)
+    assert G.density_boundaries(ink) == [12, 95, 185]
+    assert G.density_boundaries(np.full(50, 99)) == [] and G.density_boundaries(np.array([])) == []
+
+
+def test_preprocessing():
+    light = np.linspace(60, 250, 200)[None, :].repeat(120, axis=0)
+    page = light.copy()
+    page[40:60, 20:180] -= 45  # a stroke that no single threshold finds under uneven light
+    out = G.preprocessed(page.astype(np.uint8))
+    assert (out[48:52, 30:170] == 0).mean() > 0.9 and (out[:20] == 255).mean() > 0.9
+    assert set(np.unique(G.preprocessed(page.astype(np.uint8), adaptive=False))) <= {0, 255}
+
+
+def test_first_image(spark):
+    import zlib
+
+    page = np.arange(12, dtype=np.uint8).reshape(3, 4)
+    head = b"%%PDF-1.4\n5 0 obj <</Type /XObject /Subtype /Image /Width 4 /Height 3 /ColorSpace %s /BitsPerComponent 8 %s>>\nstream\n"
+    doc = head % (b"/DeviceGray", b"/Filter /FlateDecode") + zlib.compress(page.tobytes()) + b"\nendstream"
+    assert (G.first_image(doc) == page).all()
+    assert (G.first_image(head % (b"/DeviceRGB", b"") + page.repeat(3).tobytes()) == page).all()
+    for bad in (b"no image", head % (b"/DeviceGray", b"/Filter /DCTDecode") + b"x"):
+        try:
+            G.first_image(bad)
+        except ValueError:
+            continue
+        raise AssertionError(bad)
+    rows = G.page_images(spark.createDataFrame([("a.pdf", doc)], "path string, content binary")).collect()
+    assert [(r.page_key, r.height, r.width, bytes(r.pixels)) for r in rows] == [("a.pdf", 3, 4, page.tobytes())]
+
+
 def test_page_cells_and_readings(spark):
     blank = np.full((300, 240), 255, np.uint8).tobytes()
     df = spark.createDataFrame([("p", blank, 300, 240)], "page_key string, pixels binary, height int, width int")
