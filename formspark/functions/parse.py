@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from . import text as T
 
-SERIAL = r"^[#=|:;\s]*([0-9]{1,4})\b"
+SERIAL = r"^[#=|:;\s]*(\d{1,4})\b"
 NAME = r"(?i)(?:Name|Nama|Nane|Narne)\s*[:.|\-]?\s*(.+?)(?:\s*-\s*)?$"
 RELATION = (
     r"(?i)(Father|Husband|Mother|Other|Falher|Fathor|Fatner|Fath|Husb|Othor)['\s]*(?:s\s*)?(?:Name|Nama|Nane|Narne)?"
@@ -21,11 +21,11 @@ NAME_ONLY = r"(?i)^(?:Name|Nama|Nane|Narne)\s*[:.|\-]?\s*(.+?)(?:\s*-\s*)?$"
 BARE_RELATION = r"(?i)^(Father|Husband|Mother|Other)(?:\s|$)"
 HOUSE = r"(?i)(?:House|Housc|Hovse|Houso)\s*(?:Number|Numbe|Numoor|Numb|No)\s*[:.|\-]?\s*(.+?)$"
 AGE_GENDER = (
-    r"(?i)(?:Age|Ago|Aga)\s*[:.=|\-]?\s*([0-9]{2,3})\s*(?:Gender|Gend|Gencer|Gander|Gerder)\s*[:.=|\-]?\s*(Male|Female|Ma\w*|Fe\w*)"
+    r"(?i)(?:Age|Ago|Aga)\s*[:.=|\-]?\s*(\d{2,3})\s*(?:Gender|Gend|Gencer|Gander|Gerder)\s*[:.=|\-]?\s*(Male|Female|Ma\w*|Fe\w*)"
 )
-AGE = r"(?i)(?:Age|Ago)\s*[:.=|\-]?\s*([0-9]{2,3})"
+AGE = r"(?i)(?:Age|Ago)\s*[:.=|\-]?\s*(\d{2,3})"
 GENDER = r"(?i)(?:Gender|Gend|Gerder)\s*[:.=|\-]?\s*(Male|Female|Ma\w*|Fe\w*)"
-BARE_AGE = r"\b([0-9]{2,3})\b"
+BARE_AGE = r"\b(\d{2,3})\b"
 SECOND_NAME = r"(?:பெயர்)\s*[:.\-]?\s*(.+?)(?:\s*-\s*)?$"
 SECOND_RELATION = (
     r"(?:தந்தையின்|கணவரின்|கணவர்|தாயின்|இதரர்|கட்தையின்|கற்தையின்|க்தையின்|சந்தையின்)\s*(?:பெயர்)?\s*[:.|\-]?\s*(.+?)(?:\s*-\s*)?$"

@@ -33,7 +33,7 @@ NAME_LABEL = "பெயர்"
 #: name label of the first language, with its known misreadings
 NAME_PREFIX = r"^(?i:Name|Nama|Nane|Narne)\s*[:.|\-]?\s*"
 VALID_ID = r"^[A-Z]{3}[0-9]{7}$"
-ID_FINDER = r"([A-Z]{2,4}\s?[0-9]{6,8})"
+ID_FINDER = r"([A-Z]{2,4}\s?\d{6,8})"
 SCRIPT = "[^஀-௿]"
 
 

@@ -956,7 +956,7 @@ def scratch(spark: SparkSession, name: str) -> str:
     return folder.toString()
 
 
-_MAPPED = {"AC No": "part", "Part No": "part", "Serial No": "serial", "EPIC ID": "raw_id", "Name (English)": "name", "Relation Type": "rel", "House No": "house", "Age": "age", "Gender": "sex"}
+_MAPPED = {"AC No": "part", "Part No": "part", "Serial No": "serial", "EPIC ID": "raw_id", "Name (English)": "name", "Name (Tamil)": "rel", "Relation Name (English)": "name", "Relation Name (Tamil)": "sex", "Relation Type": "rel", "House No": "house", "Age": "age", "Gender": "sex"}
 
 
 @query(
