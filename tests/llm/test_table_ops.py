@@ -2,6 +2,7 @@
 
 import os
 import random
+import re
 
 import duckdb
 import numpy as np
@@ -227,7 +228,7 @@ def test_pipeline(spark, corpus):
 def test_pipeline_matches_stage_by_stage(spark, corpus):
     """The whole against brute-force versions of the middle stages on what the first one kept."""
     import corpus_pipeline
-    from test_dedup_ops import components, fingerprint, kept
+    from test_dedup_ops import components, edit, fingerprint, kept
 
     base, rows, _ = corpus
     docs = spark.read.parquet(f"{base}/documents.parquet")
@@ -242,17 +243,34 @@ def test_pipeline_matches_stage_by_stage(spark, corpus):
     third = {r.doc_id: r.text for r in corpus_pipeline.cut_repeats(spark, second, base).collect()}
     assert all(len(left[i].encode()) - len(third[i].encode()) in range(removed[i] - 4, removed[i] + 1) for i in third)
     assert [c for c, _ in second.dtypes] == corpus_pipeline.COLUMNS
+    docs3 = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in third.items()], docs.select(*corpus_pipeline.COLUMNS).schema)
+    words = lambda t: re.findall(r"[0-9a-z\x80-\U0010ffff]+", t.lower())
+    items = [words(r.text) for r in spark.read.parquet(f"{base}/benchmark.parquet").collect()]
+    leaks = {i for i, t in third.items() if any(edit(m, words(t)) <= int(0.2 * len(m)) for m in items)}
+    fourth = {r.doc_id: r.text for r in corpus_pipeline.drop_benchmark_leaks(spark, docs3, base).collect()}
+    assert fourth == {i: t for i, t in third.items() if i not in leaks} and len(leaks) >= 8
+    docs4 = docs3.where(~docs3["doc_id"].isin(*leaks))
+    fifth = corpus_pipeline.mix_domains(spark, docs4, base).collect()
+    assert {r.doc_id: (r.text, r.tokens) for r in fifth} == {i: (t, len(t.split())) for i, t in fourth.items()} and len(fifth) == len(fourth)
+    p, t = np.array([(r.p_low, r.p_toxic, r.p_good) for r in fifth]), np.array([r.tokens for r in fifth])
+    assert np.abs(p.sum(axis=1) - 1).max() < 1e-9
+    # nothing here is of low quality, so that no rates of this corpus meet the target; the rest of the totals follows
+    rates = np.array([r.rate for r in fifth])
+    assert (rates >= 0).all() and abs((rates * t * p[:, 2]).sum() / t.sum() - 0.94) < 0.02
 
 
 def test_pipeline_stages_take_odd_rows(spark, odd_docs, no_docs, corpus):
     import corpus_pipeline
 
     base, *_ = corpus
-    for docs in (odd_docs.select(*corpus_pipeline.COLUMNS), no_docs.select(*corpus_pipeline.COLUMNS)):
-        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
-            out = stage(spark, docs, base)
-            assert out.count() <= docs.count()
-            assert k == 4 or out.columns == corpus_pipeline.COLUMNS
+    everything = sorted((str(r.doc_id) for r in odd_docs.collect()))
+    # texts without words are alike to the second stage, and so are a text, its repetition and its near copy
+    want = [everything, ["1", "4", "5", "7", "8", "None"], everything, everything, everything]
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, odd_docs, base)
+        assert sorted(str(r.doc_id) for r in out.collect()) == want[k], k
+        assert k == 4 or out.columns == corpus_pipeline.COLUMNS
+        assert stage(spark, no_docs, base).count() == 0
 
 
 def test_pipeline_rows_with_null_or_shared_ids(spark, prose, tmp_path):
