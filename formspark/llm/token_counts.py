@@ -26,10 +26,10 @@ from .common import small_batches
 
 MARK = "▁"
 #: bytes of segments, and pairs, that a Python worker keeps; a full table is dropped and begun again
-CACHE_BYTES = 64 << 20
+CACHE_BYTES = 128 << 20
 CACHE = 500_000
 #: what an entry of a table takes beside its characters
-ENTRY = 160
+ENTRY = 120
 LIMIT = 4096
 
 
