@@ -118,11 +118,16 @@ def clean_house_plain(raw: Column) -> Column:
     s = F.regexp_replace(s, r"[^a-zA-Z0-9\-/() ]", "")
     s = F.regexp_replace(F.trim(F.regexp_replace(s, r"\s{2,}", " ")), r"^[\-/ ]+|[\-/ ]+$", "")
     s = F.regexp_replace(s, r"^['\"]?s\s+", "")
-    s = F.when(~s.contains(")"), F.replace(s, F.lit("("), F.lit(""))).otherwise(s)
-    s = F.when(~s.contains("("), F.replace(s, F.lit(")"), F.lit(""))).otherwise(s)
-    lead, rest = F.upper(F.regexp_extract(s, r"^([A-Za-z])\s*([0-9].*)$", 1)), F.regexp_extract(s, r"^([A-Za-z])\s*([0-9].*)$", 2)
-    digit = F.translate(lead, "".join(HOUSE_LEAD), "".join(HOUSE_LEAD.values()))
-    return F.when(s.rlike("^[0-9]{5,}$"), "").when(lead.isin(*HOUSE_LEAD), F.concat(digit, rest)).otherwise(s)
+    # each step names the value before it several times, so it is computed once
+    s = let(s, lambda s: F.when(~s.contains(")"), F.replace(s, F.lit("("), F.lit(""))).otherwise(s))
+    s = let(s, lambda s: F.when(~s.contains("("), F.replace(s, F.lit(")"), F.lit(""))).otherwise(s))
+
+    def without_lead(s: Column) -> Column:
+        lead, rest = F.upper(F.regexp_extract(s, r"^([A-Za-z])\s*([0-9].*)$", 1)), F.regexp_extract(s, r"^([A-Za-z])\s*([0-9].*)$", 2)
+        digit = F.translate(lead, "".join(HOUSE_LEAD), "".join(HOUSE_LEAD.values()))
+        return F.when(s.rlike("^[0-9]{5,}$"), "").when(lead.isin(*HOUSE_LEAD), F.concat(digit, rest)).otherwise(s)
+
+    return let(s, without_lead)
 
 
 def clean_house(raw: Column) -> Column:

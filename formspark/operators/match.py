@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import blank, clean_house_plain, unguarded
+from ..functions.text import blank, clean_house_plain, let, unguarded
 
 
 def candidate_pairs(first: DataFrame, second: DataFrame, part: list[str] | None = None) -> DataFrame:
@@ -108,10 +108,11 @@ def cross_check(a: dict[str, Column], b: dict[str, Column], paired: Column) -> t
     def differ(x: Column, y: Column, what: str) -> Column:
         return F.when((x != "") & (y != "") & (x != y), F.concat(F.lit(f"{what}: "), x, F.lit(" vs "), y))
 
-    house = [clean_house_plain(unguarded(side["house"])) for side in (a, b)]
+    x, y = (clean_house_plain(unguarded(side["house"])) for side in (a, b))
+    house = let(F.struct(x.alias("x"), y.alias("y")), lambda h: differ(h["x"], h["y"], "house"))
     ratio = F.length(blank(a["name"])) / F.nullif(F.length(blank(b["name"])), F.lit(0))
     notes = F.concat_ws("; ", F.array_compact(F.array(
-        differ(blank(a["epic"]), blank(b["epic"]), "id"), differ(*house, "house"), differ(blank(a["serial"]), blank(b["serial"]), "serial"),
+        differ(blank(a["epic"]), blank(b["epic"]), "id"), house, differ(blank(a["serial"]), blank(b["serial"]), "serial"),
         F.when((blank(a["name"]) != "") & ((ratio > 5) | (ratio < 0.2)), F.lit("name length")),
     )))
     return F.when(~paired, "UNVERIFIED").when(notes != "", "REVIEW").otherwise("OK"), notes
